@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op4_chat
+from .decontaminate import op3_decontaminate
+from .mixing import op5_mixing
 from .pii import op1_pii
 from .quality import op10_quality_rules
 from .secrets import op2_secrets
@@ -18,7 +20,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
         "op2_secrets": op2_secrets,
+        "op3_decontaminate": op3_decontaminate,
         "op4_chat": op4_chat,
+        "op5_mixing": op5_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
 
