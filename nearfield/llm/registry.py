@@ -12,6 +12,7 @@ from .mixing import op5_mixing
 from .pii import op1_pii
 from .quality import op10_quality_rules
 from .secrets import op2_secrets
+from .toxicity import op7_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op3_decontaminate": op3_decontaminate,
         "op4_chat": op4_chat,
         "op5_mixing": op5_mixing,
+        "op7_toxicity": op7_toxicity,
         "op10_quality_rules": op10_quality_rules,
     }
 
