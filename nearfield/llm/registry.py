@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op4_chat
 from .decontaminate import op3_decontaminate
 from .mixing import op5_mixing
+from .neardup import op6_neardup
 from .pii import op1_pii
 from .quality import op10_quality_rules
 from .secrets import op2_secrets
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op3_decontaminate": op3_decontaminate,
         "op4_chat": op4_chat,
         "op5_mixing": op5_mixing,
+        "op6_neardup": op6_neardup,
         "op7_toxicity": op7_toxicity,
         "op10_quality_rules": op10_quality_rules,
     }
