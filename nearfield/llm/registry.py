@@ -13,6 +13,8 @@ from .neardup import op6_neardup
 from .pii import op1_pii
 from .quality import op10_quality_rules
 from .secrets import op2_secrets
+from .substring import op9_substring
+from .suffix import op8_suffix
 from .toxicity import op7_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,8 @@ def queries() -> dict[str, Query]:
         "op5_mixing": op5_mixing,
         "op6_neardup": op6_neardup,
         "op7_toxicity": op7_toxicity,
+        "op8_suffix": op8_suffix,
+        "op9_substring": op9_substring,
         "op10_quality_rules": op10_quality_rules,
     }
 
