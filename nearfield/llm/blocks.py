@@ -4,6 +4,9 @@ Documents are packed into blocks of a few megabytes, one row each, written once
 in buckets of the block id.  A block asks about its windows, answers come back
 by block id, and joining them to the blocks shuffles only the answers.
 
+Texts that are whole copies of an earlier document's are found first, by their
+hashes alone; no window of theirs is sent anywhere.
+
 The prefilter: every block sends, to each of a number of shards, the sorted
 fingerprints of its windows there, a sparse sketch.  A shard merges all
 sketches into two rows of saturating counters, and answers each block
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bucketed, text_of
+from .common import bucketed, text_of, written
 
 #: Bits of a fingerprint within its shard, and of a counter's number.
 FINGER_BITS, CELL_BITS = 28, 25
@@ -31,32 +34,65 @@ _LAST = np.iinfo(np.int64).max
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks: blk, and lists of k (a hash of the row's id and text), doc_id and text, null as empty."""
-    df = docs.select(F.xxhash64(docs[id_col], docs[text_col]).alias("k"), docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    """Blocks: blk, and lists of doc_id, text, null as empty, and two hashes of it."""
+    df = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         for b in batches:
-            for first, end, _, _ in tk.chunks(b.column(2)):
-                own = b.slice(first, end - first)
-                lists = [pa.ListArray.from_arrays(pa.array([0, end - first], pa.int32()), c) for c in own.columns]
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), *lists], ["blk", "k", "doc_id", "text"])
+            for first, end, raw, off in tk.chunks(b.column(1)):
+                columns = [*b.slice(first, end - first).columns, *[pa.array(h.view(np.int64)) for h in two_hashes(raw, off[:-1], off[1:])]]
+                lists = [pa.ListArray.from_arrays(pa.array([0, end - first], pa.int32()), c) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), *lists], ["blk", "doc_id", "text", "one", "two"])
                 n += 1
 
-    return bucketed(df.mapInArrow(run, "blk long, k array<long>, doc_id array<long>, text array<string>"), "blk", "blocks")
+    return bucketed(df.mapInArrow(run, "blk long, doc_id array<long>, text array<string>, one array<long>, two array<long>"), "blk", "blocks")
+
+
+def two_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of byte runs."""
+    return tk.word_hashes(raw, begin, end), tk.word_hashes(255 - raw, begin, end)
+
+
+def same(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A number for each row, the same for rows in which both hashes are."""
+    rows = np.lexsort((two, one))
+    a, b = one[rows], two[rows]
+    head = np.ones(len(rows), bool)
+    head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    out = np.empty(len(rows), np.int64)
+    out[rows] = np.cumsum(head) - 1
+    return out
+
+
+def first_of(order: np.ndarray, start: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which rows are at the first place of their group: none is smaller by order, then start."""
+    rows = np.lexsort((start, order, group))
+    g, o, s = group[rows], order[rows], start[rows]
+    head = np.ones(len(rows), bool)
+    head[1:] = g[1:] != g[:-1]
+    lead = np.flatnonzero(head)[np.cumsum(head) - 1] if len(rows) else rows
+    out = np.empty(len(rows), bool)
+    out[rows] = (o == o[lead]) & (s == s[lead])
+    return out
+
+
+def _order(ids: pa.Array) -> np.ndarray:
+    """What orders documents: their ids, null as the largest."""
+    return ids.fill_null(_LAST).to_numpy(zero_copy_only=False)
 
 
 class Opened:
-    """A block's row: bytes and offsets of its texts, and what orders its documents."""
+    """A block's row: bytes and offsets of its texts, what orders its documents, and which are copies of earlier ones."""
 
     def __init__(self, b: pa.RecordBatch, row: int) -> None:
-        col = lambda n: b.column(n)[row].values
         self.blk = b.column("blk")[row].as_py()
-        self.k = col("k").to_numpy(zero_copy_only=False)
-        self.ids = col("doc_id")
-        #: Null ids count as the largest.
-        self.order = self.ids.fill_null(_LAST).to_numpy(zero_copy_only=False)
-        self.raw, self.off = tk.buffers(col("text"))
+        self.ids = b.column("doc_id")[row].values
+        self.order = _order(self.ids)
+        self.raw, self.off = tk.buffers(b.column("text")[row].values)
+        self.copy = np.zeros(len(self.ids), bool)
+        for a in b.column("copies")[row].as_py() or []:
+            self.copy[a["at"]] = True
 
 
 def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Opened, list]]:
@@ -66,23 +102,33 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Opened, list]]:
             yield Opened(b, row), (b.column("answers")[row].as_py() or []) if "answers" in b.schema.names else []
 
 
-def squeezed(a: np.ndarray) -> bytes:
-    """A number array in few bytes: differences, by byte planes, compressed."""
+def squeezed(a: np.ndarray, rising: bool = True) -> bytes:
+    """A number array in few bytes: by byte planes, compressed; numbers that rise as differences."""
     a = np.ascontiguousarray(a)
-    if a.dtype.itemsize > 1:
+    if rising:
         a = np.diff(a, prepend=a.dtype.type(0))
     planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
     return pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
 
 
-def spread(data: bytes, n: int, dtype: str) -> np.ndarray:
+def spread(data: bytes, n: int, dtype: str, rising: bool = True) -> np.ndarray:
     """Undoes ``squeezed`` for n numbers."""
     d = np.dtype(dtype)
     if not n:
         return np.zeros(0, d)
     planes = np.frombuffer(pa.decompress(data, decompressed_size=n * d.itemsize, codec="zstd"), np.uint8)
     a = np.ascontiguousarray(planes.reshape(d.itemsize, n).T).view(d).ravel()
-    return np.cumsum(a, dtype=d) if d.itemsize > 1 else a
+    return np.cumsum(a, dtype=d) if rising else a
+
+
+def sent_hash(h: np.ndarray) -> np.ndarray:
+    """The part of a hash that is sent: 48 bits; two of them tell windows apart."""
+    return h >> np.uint64(16)
+
+
+def shard_of(sent: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a sent hash."""
+    return ((sent >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
 
 def _fingers(hashes: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,12 +173,42 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int,
         yield at, rows
 
 
-def answered(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+def answered(blocks: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
     """Blocks with the rows of ``answers`` (blk, answer: struct) in a list."""
-    per = answers.groupBy("blk").agg(F.collect_list("answer").alias("answers"))
+    per = answers.groupBy("blk").agg(F.collect_list("answer").alias(name))
     return blocks.join(per, "blk", "left")
 
 
+def with_copies(blocks: DataFrame) -> DataFrame:
+    """Blocks with ``copies``: at which places of the block a text is a copy of an earlier document's."""
+    shards = shards_of(blocks)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                one, two = (sent_hash(b.column(c)[row].values.to_numpy(zero_copy_only=False).view(np.uint64)) for c in ("one", "two"))
+                order = _order(b.column("doc_id")[row].values)
+                first = first_of(order, np.zeros(len(order), np.int64), same(one, two))
+                shard = np.where(first, shard_of(one, shards), -1)  # -1: settled here
+                for s in np.unique(shard):
+                    at = np.flatnonzero(shard == s)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(s)], pa.int32()), b.column("blk").slice(row, 1), *[pa.array([v], pa.list_(pa.int64())) for v in (at, one[at].view(np.int64), two[at].view(np.int64), order[at])]], ["shard", "blk", "at", "one", "two", "place"])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_group(batches, "shard"):
+            of = {c: np.concatenate([np.array(r[c], np.int64) for r in rows]) for c in ("at", "one", "two", "place")}
+            later = ~first_of(of["place"], np.zeros(len(of["at"]), np.int64), same(of["one"], of["two"]))
+            cut = np.concatenate([[0], np.cumsum([len(r["at"]) for r in rows])])
+            for r, i, j in zip(rows, cut[:-1], cut[1:], strict=True):
+                if later[i:j].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([r["blk"]], pa.int64()), pa.array([of["at"][i:j][later[i:j]]], pa.list_(pa.int64()))], ["blk", "at"])
+
+    sent = written(blocks.select("blk", "doc_id", "one", "two").mapInArrow(send, "shard int, blk long, at array<long>, one array<long>, two array<long>, place array<long>"), "copies")
+    asked = sent.where("shard >= 0").repartition(shards, "shard").sortWithinPartitions("shard", "blk")
+    gone = written(asked.mapInArrow(judge, "blk long, at array<long>").unionByName(sent.where("shard < 0").select("blk", "at")), "copies")
+    return answered(blocks.drop("one", "two"), gone.select("blk", F.struct("at").alias("answer")), "copies")
+
+
 def shards_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -153,17 +229,17 @@ def prefiltered(blocks: DataFrame, hashes: Callable[[Opened], np.ndarray], shard
                         pa.array([block.blk] * len(rows), pa.int64()),
                         pa.array([j - i for _, i, j in rows], pa.int32()),
                         pa.array([squeezed(finger[i:j]) for _, i, j in rows], pa.binary()),
-                        pa.array([squeezed(np.packbits(n[i:j] > 1)) for _, i, j in rows], pa.binary()),
+                        pa.array([squeezed(np.packbits(n[i:j] > 1), False) for _, i, j in rows], pa.binary()),
                     ],
                     ["shard", "blk", "n", "fingers", "twice"],
                 )
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in by_group(batches, "shard"):
-            pieces = [(r["blk"], spread(r["fingers"], r["n"], "<u4"), np.unpackbits(spread(r["twice"], -(-r["n"] // 8), "u1"), count=r["n"]).astype(bool)) for r in rows]
+            pieces = [(r["blk"], spread(r["fingers"], r["n"], "<u4"), np.unpackbits(spread(r["twice"], -(-r["n"] // 8), "u1", False), count=r["n"]).astype(bool)) for r in rows]
             out = [x for x in _judge(pieces, hot) if x[1].any()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([shard] * len(out), pa.int32()), pa.array([len(o[1]) for o in out], pa.int32()), *[pa.array([squeezed(np.packbits(o[k])) for o in out], pa.binary()) for k in (1, 2)]], ["blk", "shard", "n", "bits", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([shard] * len(out), pa.int32()), pa.array([len(o[1]) for o in out], pa.int32()), *[pa.array([squeezed(np.packbits(o[k]), False) for o in out], pa.binary()) for k in (1, 2)]], ["blk", "shard", "n", "bits", "hot"])
 
     sent = blocks.mapInArrow(sketch, "shard int, blk long, n int, fingers binary, twice binary")
     sent = sent.repartition(shards, "shard").sortWithinPartitions("shard", "blk")
@@ -178,5 +254,5 @@ def maybe_repeated(hashes: np.ndarray, answers: list[dict], shards: int) -> tupl
     for a in answers:
         s = a["shard"]
         for row, name in enumerate(("bits", "hot")):
-            held[row, cut[s] : cut[s + 1]] = np.unpackbits(spread(a[name], -(-a["n"] // 8), "u1"), count=a["n"]).astype(bool)
+            held[row, cut[s] : cut[s + 1]] = np.unpackbits(spread(a[name], -(-a["n"] // 8), "u1", False), count=a["n"]).astype(bool)
     return held[0, at], held[1, at]

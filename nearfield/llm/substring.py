@@ -1,16 +1,17 @@
 """Substring dedup: words covered by a window of words that starts earlier somewhere else.
 
-1. A count-min prefilter (see ``blocks``) leaves the windows that may be
+1. Texts that are copies of earlier ones go as a whole; of the others, a
+   count-min prefilter (see ``blocks``) leaves the windows that may be
    repeated; it overestimates, and loses none.
-2. A second pass groups exactly those by two hashes of 64 bits each.  A block first
+2. A second pass groups exactly those by two hashes of 48 bits each.  A block first
    settles repeats of its own, so that it sends a window at most once, however
    common that is; the shard of a window then knows its first place and
    answers every block in which it starts later.
 3. Words under a window that starts earlier elsewhere go.
 
 Places are ordered by document id, then start; null ids count as the largest.
-Rows with equal id and text are one place: neither removes the other's words.
-Rows with equal ids and other texts are told apart by a hash of the row.
+Equal starts in rows of equal ids are one place: neither removes the other's
+words.
 
 Edge cases: a null or empty text has no words, as has one of white space; a
 text shorter than a window loses nothing; other columns are ignored, whatever
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .blocks import Opened, answered, by_group, maybe_repeated, opened, packed, prefiltered, shards_of, spread, squeezed
+from .blocks import Opened, answered, by_group, first_of, maybe_repeated, opened, packed, prefiltered, same, sent_hash, shard_of, shards_of, spread, squeezed, with_copies
 from .common import load, written
 
 #: Words of a window.
@@ -35,32 +36,23 @@ WIDTH = 20
 
 
 def _windows(block: Opened, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first word) of every window of the block, and the word offsets."""
+    """(hash, first word) of every window of the block's texts that are no copies, and the word offsets."""
     starts, ends, word_off = tk.words(block.raw, block.off, tk.SPACED)
     runs = tk.windows(tk.word_hashes(block.raw, starts, ends), width)
-    at = np.flatnonzero(tk.valid(word_off, width, len(runs)))
+    own = ~np.repeat(block.copy, np.diff(word_off))[: len(runs)]
+    at = np.flatnonzero(tk.valid(word_off, width, len(runs)) & own)
     return runs[at], at, word_off
 
 
-def _second(hashes: np.ndarray, block: Opened, at: np.ndarray, width: int) -> np.ndarray:
-    """Another hash of the windows at ``at``, of the bytes of their words."""
+def _second(block: Opened, at: np.ndarray, width: int) -> np.ndarray:
+    """Another hash of the windows at ``at``."""
     starts, ends, _ = tk.words(block.raw, block.off, tk.SPACED)
-    turned = tk.word_hashes(255 - block.raw, starts, ends)
-    return tk.windows(turned, width)[at]
+    return tk.windows(tk.word_hashes(255 - block.raw, starts, ends), width)[at]
 
 
-def first_of(order: np.ndarray, start: np.ndarray, k: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Which rows are a first place of their group: none is smaller by order, then start, then k."""
-    rows = np.lexsort((k, start, order, group))
-    g, o, s, h = group[rows], order[rows], start[rows], k[rows]
-    head = np.concatenate([[True], g[1:] != g[:-1]])
-    lead = np.flatnonzero(head)[np.cumsum(head) - 1]
-    out = np.zeros(len(rows), bool)
-    out[rows] = (o == o[lead]) & (s == s[lead]) & (h == h[lead])
-    return out
-
-
-_SENT = "kind int, shard int, blk long, n int, place binary, hash binary, second binary, order binary, start binary, k binary"
+#: Columns of what is sent: their numbers, and whether those rise.
+_TYPES = {"place": ("<u4", True), "hash": ("<u8", False), "second": ("<u8", False), "order": ("<i8", True), "start": ("<u4", True)}
+_SENT = "kind int, shard int, blk long, n int, " + ", ".join(f"{c} binary" for c in _TYPES)
 
 
 def _sent(blocks: DataFrame, width: int, shards: int) -> DataFrame:
@@ -70,27 +62,24 @@ def _sent(blocks: DataFrame, width: int, shards: int) -> DataFrame:
         for block, answers in opened(batches):
             hashes, at, word_off = _windows(block, width)
             held, _ = maybe_repeated(hashes, answers, shards)
-            hashes, at = hashes[held], at[held]
+            hashes, at = sent_hash(hashes[held]), at[held]
             if not len(at):
                 continue
-            second = _second(hashes, block, at, width)
+            second = sent_hash(_second(block, at, width))
             doc = np.searchsorted(word_off, at, side="right") - 1
-            order, k, start = block.order[doc], block.k[doc], at - word_off[doc]
-            group = np.unique(np.rec.fromarrays([hashes, second]), return_inverse=True)[1]
-            first = first_of(order, start, k, group)
-            rows = []
-            if not first.all():
-                rows.append((1, -1, ~first))
-            shard = np.where(first, ((hashes >> np.uint64(40)) % np.uint64(shards)).astype(np.int64), -1)
-            rows += [(0, int(s), shard == s) for s in np.unique(shard[first])]
+            of = {"place": at, "hash": hashes, "second": second, "order": block.order[doc], "start": at - word_off[doc]}
+            first = first_of(of["order"], of["start"], same(hashes, second))
+            shard = np.where(first, shard_of(hashes, shards), -1)
+            by = np.argsort(shard, kind="stable")
+            cut = np.searchsorted(shard[by], np.arange(-1, shards + 1))
+            rows = [(int(s < 0), s, by[i:j]) for s, i, j in zip(range(-1, shards), cut[:-1], cut[1:], strict=True) if j > i]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in rows], pa.int32()),
                     pa.array([r[1] for r in rows], pa.int32()),
                     pa.array([block.blk] * len(rows), pa.int64()),
-                    pa.array([int(r[2].sum()) for r in rows], pa.int32()),
-                    pa.array([squeezed(at[r[2]].astype("<u4")) for r in rows], pa.binary()),
-                    *[pa.array([None if r[0] else squeezed(v[r[2]].astype(t)) for r in rows], pa.binary()) for v, t in ((hashes, "<u8"), (second, "<u8"), (order, "<i8"), (start, "<u4"), (k, "<i8"))],
+                    pa.array([len(r[2]) for r in rows], pa.int32()),
+                    *[pa.array([squeezed(of[c][r[2]].astype(t), rising) if c == "place" or not r[0] else None for r in rows], pa.binary()) for c, (t, rising) in _TYPES.items()],
                 ],
                 [c.split()[0] for c in _SENT.split(", ")],
             )
@@ -103,12 +92,10 @@ def _later(sent: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_group(batches, "shard"):
-            of = lambda name, t: np.concatenate([spread(r[name], r["n"], t) for r in rows])  # noqa: E731, B023
-            group = np.unique(np.rec.fromarrays([of("hash", "<u8"), of("second", "<u8")]), return_inverse=True)[1]
-            later = ~first_of(of("order", "<i8"), of("start", "<u4"), of("k", "<i8"), group)
-            place = of("place", "<u4")
+            of = {c: np.concatenate([spread(r[c], r["n"], *t) for r in rows]) for c, t in _TYPES.items()}
+            later = ~first_of(of["order"], of["start"], same(of["hash"], of["second"]))
             cut = np.concatenate([[0], np.cumsum([r["n"] for r in rows])])
-            out = [(r["blk"], place[i:j][later[i:j]]) for r, i, j in zip(rows, cut[:-1], cut[1:], strict=True) if later[i:j].any()]
+            out = [(r["blk"], of["place"][i:j][later[i:j]]) for r, i, j in zip(rows, cut[:-1], cut[1:], strict=True) if later[i:j].any()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([len(o[1]) for o in out], pa.int32()), pa.array([squeezed(o[1]) for o in out], pa.binary())], ["blk", "n", "place"])
 
@@ -118,7 +105,7 @@ def _later(sent: DataFrame, shards: int) -> DataFrame:
 
 def removed(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept, the words left, joined by one space."""
-    blocks = packed(docs, id_col, text_col)
+    blocks = with_copies(packed(docs, id_col, text_col))
     shards = shards_of(blocks)
     maybe = prefiltered(blocks, lambda b: _windows(b, width)[0], shards)
     sent = written(_sent(answered(blocks, maybe), width, shards), "windows")
@@ -133,7 +120,7 @@ def removed(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
                 place = spread(a["place"], a["n"], "<u4").astype(np.int64)
                 np.add.at(change, place, 1)
                 np.add.at(change, place + width, -1)
-            out = np.cumsum(change[:-1]) > 0
+            out = (np.cumsum(change[:-1]) > 0) | np.repeat(block.copy & (np.diff(word_off) >= width), np.diff(word_off))
             total = np.concatenate([[0], np.cumsum(out)])
             n_removed = total[word_off[1:]] - total[word_off[:-1]]
             data = block.raw.tobytes()

@@ -1,26 +1,29 @@
 """Suffix-array dedup: bytes covered by a string of 100 bytes that starts earlier somewhere else.
 
-1. Every 100 bytes hold an anchor: the 32-byte gram of the smallest hash in
-   them.  Equal strings have equal anchors, so a repeated string lies in the
-   surroundings of an anchor that is repeated; a count-min prefilter over
-   anchors (see ``blocks``) leaves those.
-2. The surroundings, the 168 bytes that strings with the anchor can reach, go
-   to the shard of the anchor; a block sends equal ones once.
-3. A shard takes equal surroundings together, sorts the suffixes of those that
-   differ but share an anchor, and expands intervals of their Burrows-Wheeler
-   transform: breadth first, each string of l bytes is extended backward by
-   every byte before it, and the ends of the intervals that come up first for
-   l + 1 bytes are the places where neighbours share just l bytes.  The
-   expansion stops at 100: neighbours without such a place share 100 bytes.
-4. Of equal strings all but the first are removed, with what else is equal.
+1. Texts that are copies of earlier ones go as a whole.  Of the others, every 100 bytes hold an anchor: the 32-byte gram of the smallest hash in
+   them.  Equal strings have equal anchors, and of the 68 other bytes 34 or more
+   stand on one side.  So a repeated string lies around an anchor that is
+   repeated with the 34 bytes before it or those after it; a count-min
+   prefilter over both (see ``blocks``) leaves those.
+2. The surroundings of an anchor are the bytes of all strings that chose it, 168
+   at most.  Their hash goes to the shard of the anchor, equal ones once a
+   block.  All surroundings but the first equal ones are repeated as a whole;
+   the first ones are asked for where others have the same anchor.
+3. The shard of an anchor sorts the suffixes of what it asked for and expands
+   intervals of their Burrows-Wheeler transform: breadth first, each string of
+   l bytes is extended backward by every byte before it, and the ends of the
+   intervals that come up first for l + 1 bytes are the places where neighbours
+   share just l bytes.  The expansion stops at 100: neighbours without such a
+   place share 100 bytes, and of those all but the first are repeated.
+4. What is repeated is removed.
 
 An anchor that many blocks have goes another way, which splits it: its strings
-are told apart by two hashes of 64 bits each, dealt over all shards, each block
+are told apart by two hashes of 48 bits each, dealt over all shards, each block
 sending a string once.
 
 Places are ordered by document id, then start; null ids count as the largest.
-Rows with equal id and text are one place: neither removes the other's bytes.
-Rows with equal ids and other texts are told apart by a hash of the row.
+Equal starts in rows of equal ids are one place: neither removes the other's
+bytes.
 
 Edge cases: a null text counts as empty; a text of less than 100 bytes loses
 nothing; other columns are ignored, whatever their names; an empty table gives
@@ -37,9 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .blocks import Opened, answered, by_group, maybe_repeated, opened, packed, prefiltered, shards_of, spread, squeezed
+from .blocks import Opened, answered, by_group, first_of, maybe_repeated, opened, packed, prefiltered, same, sent_hash, shard_of, shards_of, spread, squeezed, two_hashes, with_copies
 from .common import load, written
-from .substring import first_of
 
 #: Bytes of a string that is removed, and of an anchor's gram.
 LEAST, GRAM = 100, 32
@@ -74,11 +76,15 @@ def _slid(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(out[: len(a) - width + 1], out[width - have : width - have + len(a) - width + 1])
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(place, hash) of the anchors: grams of the smallest hash in some ``least`` bytes of one document."""
+def anchors(raw: np.ndarray, off: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place, hash, from, to) of the anchors, grams of the smallest hash in some ``least`` bytes of one document.
+
+    The strings that chose an anchor start at ``from`` to ``to``; a string in
+    which the smallest hash comes up twice chooses both.
+    """
     n, span = len(raw), least - gram + 1
     if n < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
     eights = tk.mixed(_eights(raw))
     h = np.zeros(n - gram + 1, np.uint64)
     for k in range(gram // 8):
@@ -90,7 +96,16 @@ def anchors(raw: np.ndarray, off: np.ndarray, least: int = LEAST, gram: int = GR
     low = np.where(np.arange(len(low)) + least <= ends, low, np.uint64(0))
     wide = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)])
     place = np.flatnonzero(_slid(wide, span, np.maximum)[: len(h)] == h)
-    return place, h[place]
+    # the run of starts that chose an anchor is one of the few among the span before it
+    begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    stop = np.append(begin[1:], len(low)) - 1
+    run = np.searchsorted(stop, place - span + 1)
+    while True:
+        wrong = np.flatnonzero(low[begin[run]] != h[place])
+        if not len(wrong):
+            break
+        run[wrong] += 1
+    return place, h[place], np.maximum(begin[run], place - span + 1), np.minimum(stop[run], place)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -102,7 +117,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         after = np.concatenate([rank[step:], np.full(step, rank[-1])])
         rank = np.unique(rank * (rank.max() + 1) + after, return_inverse=True)[1].astype(np.int64)
         have += step
-    return np.argsort(rank, kind="stable")
+    return np.argsort(rank)
 
 
 def apart(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -126,7 +141,7 @@ def apart(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
         own = np.repeat(np.arange(len(low)), size)
         rows = np.arange(len(own)) + np.repeat(low - (np.cumsum(size) - size), size)
         t = to[rows]
-        by = np.argsort(t, kind="stable")
+        by = np.argsort(t)
         t, own = t[by], own[by]
         head = np.concatenate([[True], (t[1:] != t[:-1] + 1) | (own[1:] != own[:-1]) | (first[t[1:]] != first[t[:-1]])])
         begin = t[head]
@@ -156,75 +171,164 @@ def repeats(parts: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np
     return part[twice], offset[twice], cls[twice]
 
 
-def _numbers(strings: list[bytes]) -> np.ndarray:
-    seen: dict[bytes, int] = {}
-    return np.array([seen.setdefault(s, len(seen)) for s in strings], np.int64)
+#: Columns of what is sent: their numbers, and whether those rise.
+_TYPES = {"place": ("<u4", True), "size": ("u1", False), "hash": ("<u8", False), "second": ("<u8", False), "order": ("<i8", True), "start": ("<i8", True)}
+_COLUMNS = [("kind", pa.int32()), ("shard", pa.int32()), ("blk", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in _TYPES], ("bytes", pa.binary())]
+_SCHEMA = "kind int, shard int, blk long, n int, " + ", ".join(f"{c} binary" for c in [*_TYPES, "bytes"])
+#: Kinds of rows: surroundings by hash; what the block itself has earlier; strings of hot anchors by hash; surroundings asked for.
+_HASHED, _OWN, _HOT, _WHOLE = range(4)
+
+
+def _batch(rows: list[tuple[int, int, int, dict[str, np.ndarray], bytes | None]]) -> pa.RecordBatch:
+    """Rows (kind, shard, blk, columns, bytes)."""
+    values = [
+        [r[0] for r in rows],
+        [r[1] for r in rows],
+        [r[2] for r in rows],
+        [len(r[3]["place"]) for r in rows],
+        *[[squeezed(r[3][c].astype(t), rising) if c in r[3] else None for r in rows] for c, (t, rising) in _TYPES.items()],
+        [r[4] for r in rows],
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(values, _COLUMNS, strict=True)], [c for c, _ in _COLUMNS])
+
+
+def _read(rows: list[dict]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The columns of such rows of one kind, and each entry's block."""
+    held = {c: np.concatenate([spread(r[c], r["n"], *t) for r in rows]) for c, t in _TYPES.items() if rows[0][c] is not None}
+    return held, np.repeat([r["blk"] for r in rows], [r["n"] for r in rows])
+
+
+def _by_block(kind: int, blk: np.ndarray, columns: dict[str, np.ndarray]) -> list[tuple]:
+    """A row for each block, its entries in the order of their places."""
+    by = np.lexsort((columns["place"], blk))
+    blk, columns = blk[by], {c: v[by] for c, v in columns.items()}
+    heads = np.flatnonzero(np.concatenate([[True], blk[1:] != blk[:-1]])) if len(blk) else []
+    return [(kind, -1, int(blk[i]), {c: v[i:j] for c, v in columns.items()}, None) for i, j in zip(heads, [*heads[1:], len(blk)], strict=True)]
+
+
+def _sides(block: Opened) -> tuple[np.ndarray, ...]:
+    """Place, hash, from, to and document of the anchors of texts that are no copies, and the hashes of each with half of the other bytes before and after it, 0 where those end."""
+    place, h, low, high = anchors(block.raw, block.off)
+    raw, off = block.raw, block.off
+    own = ~block.copy[np.searchsorted(off, place, side="right") - 1]
+    place, h, low, high = place[own], h[own], low[own], high[own]
+    half = (LEAST - GRAM) // 2
+    doc = np.searchsorted(off, place, side="right") - 1
+    sides = []
+    for begin, end, salt in ((place - half, place + GRAM, 1), (place, place + GRAM + half, 2)):
+        ok = (begin >= off[doc]) & (end <= off[doc + 1])
+        out = np.zeros(len(place), np.uint64)
+        out[ok] = tk.word_hashes(raw, begin[ok], end[ok]) * np.uint64(2 * salt + 1) | np.uint64(1)
+        sides.append(out)
+    return place, h, low, high, doc, *sides
+
+
+def _asked(block: Opened) -> np.ndarray:
+    """What the prefilter counts: both sides of each anchor, and the anchors, for their heat."""
+    _, h, _, _, _, before, after = _sides(block)
+    return np.concatenate([before[before > 0], after[after > 0], h])
+
+
+def _around(block: Opened, answers: list[dict], shards: int) -> tuple[np.ndarray, ...]:
+    """Hash, document, begin, end and heat of the surroundings that may hold a repeated string."""
+    place, h, low, high, doc, before, after = _sides(block)
+    held, hot = maybe_repeated(np.concatenate([before[before > 0], after[after > 0], h]), answers, shards)
+    n, m = np.count_nonzero(before), np.count_nonzero(after)
+    maybe = np.zeros((2, len(place)), bool)
+    maybe[0, before > 0] = held[:n]
+    maybe[1, after > 0] = held[n : n + m]
+    half = (LEAST - GRAM) // 2
+    # strings with half of the bytes on a side that isn't repeated are out
+    low = np.where(maybe[0], low, np.maximum(low, place - half + 1))
+    high = np.where(maybe[1], high, np.minimum(high, place - half - 1))
+    ok = maybe.any(0) & (low <= high)
+    return h[ok], doc[ok], low[ok], high[ok] + LEAST, hot[n + m :][ok]
 
 
-_SENT = "kind int, shard int, blk long, n int, place binary, size binary, left binary, hash binary, order binary, start binary, k binary, bytes binary"
-_TYPES = {"place": "<u4", "size": "u1", "left": "u1", "hash": "<u8", "order": "<i8", "start": "<i8", "k": "<i8"}
+def _sent(blocks: DataFrame, shards: int) -> DataFrame:
+    """What each block sends to the shards, and what it has itself earlier."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, answers in opened(batches):
+            h, doc, begin, end, hot = _around(block, answers, shards)
+            out = []
+            for kind, of in ((_HASHED, ~hot), (_HOT, hot)):
+                if not of.any():
+                    continue
+                if kind == _HASHED:
+                    at, stop, own, one = begin[of], end[of], doc[of], sent_hash(h[of])
+                    # the anchor's hash, and one of all its surroundings
+                    two = sent_hash(tk.word_hashes(block.raw, at, stop))
+                else:
+                    n = end[of] - begin[of] - LEAST + 1
+                    at = np.unique(np.repeat(begin[of], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                    stop, own = at + LEAST, np.searchsorted(block.off, at, side="right") - 1
+                    one, two = map(sent_hash, two_hashes(block.raw, at, stop))
+                columns = {"place": at, "size": stop - at, "hash": one, "second": two, "order": block.order[own], "start": at - block.off[own]}
+                first = first_of(columns["order"], columns["start"], same(one, two))
+                if not first.all():
+                    out.append((_OWN, -1, block.blk, {c: columns[c][~first] for c in ("place", "size")}, None))
+                shard = np.where(first, shard_of(one, shards), -1)
+                by = np.argsort(shard, kind="stable")
+                cut = np.searchsorted(shard[by], np.arange(shards + 1))
+                out += [(kind, s, block.blk, {c: v[by[i:j]] for c, v in columns.items()}, None) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+            if out:
+                yield _batch(out)
 
-def _around(block: Opened, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, begin, end and bytes before the anchor, of the surroundings of each anchor."""
-    doc = np.searchsorted(block.off, place, side="right") - 1
-    begin = np.maximum(place - (LEAST - GRAM), block.off[doc])
-    end = np.minimum(place + LEAST, block.off[doc + 1])
-    return doc, begin, end, place - begin
+    return blocks.mapInArrow(run, _SCHEMA)
 
 
-def _sent(blocks: DataFrame, shards: int) -> DataFrame:
-    """Kind 0: surroundings of anchors for a shard; 1: bytes that the block itself has earlier; 2: strings of hot anchors for a shard."""
+def _compared(sent: DataFrame, shards: int) -> DataFrame:
+    """For each block: what other blocks have earlier (_OWN), and surroundings that the anchor's shard asks for (_WHOLE)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, answers in opened(batches):
-            place, hashes = anchors(block.raw, block.off)
-            held, hot = maybe_repeated(hashes, answers, shards)
+        for _, every in by_group(batches, "shard"):
             out = []
-            data = block.raw.tobytes()
-            p, h = place[held & ~hot], hashes[held & ~hot]
-            if len(p):
-                doc, begin, end, left = _around(block, p)
-                strings = [data[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
-                same = np.unique(np.stack([_numbers(strings), left]), axis=1, return_inverse=True)[1].ravel()
-                order, k, start = block.order[doc], block.k[doc], begin - block.off[doc]
-                first = first_of(order, start, k, same)
-                values = {"place": begin, "size": end - begin, "left": left, "hash": h, "order": order, "start": start, "k": k}
-                if not first.all():
-                    out.append((1, -1, {c: values[c][~first] for c in ("place", "size")}, None))
-                shard = ((h >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
-                for s in np.unique(shard[first]):
-                    rows = np.flatnonzero(first & (shard == s))
-                    out.append((0, int(s), {c: v[rows] for c, v in values.items()}, pa.compress(b"".join([strings[i] for i in rows]), codec="zstd", asbytes=True)))
-            p = place[held & hot]
-            if len(p):
-                doc, begin, end, _ = _around(block, p)
-                n = end - begin - LEAST + 1
-                at = np.unique(np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-                doc = np.searchsorted(block.off, at, side="right") - 1
-                one, two = (tk.word_hashes(raw, at, at + LEAST) for raw in (block.raw, 255 - block.raw))
-                order, k, start = block.order[doc], block.k[doc], at - block.off[doc]
-                first = first_of(order, start, k, np.unique(np.rec.fromarrays([one, two]), return_inverse=True)[1])
-                if not first.all():
-                    out.append((1, -1, {"place": at[~first], "size": np.full((~first).sum(), LEAST)}, None))
-                shard = ((one >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
-                for s in np.unique(shard[first]):
-                    rows = np.flatnonzero(first & (shard == s))
-                    out.append((2, int(s), {"place": at[rows], "hash": one[rows], "order": order[rows], "start": start[rows], "k": k[rows]}, two[rows].astype("<u8").tobytes()))
+            for kind in (_HASHED, _HOT):
+                rows = [r for r in every if r["kind"] == kind]
+                if not rows:
+                    continue
+                of, blk = _read(rows)
+                group = same(of["hash"], of["second"])
+                first = first_of(of["order"], of["start"], group)
+                out += _by_block(_OWN, blk[~first], {c: of[c][~first] for c in ("place", "size")})
+                if kind == _HASHED:
+                    # an anchor with surroundings of one kind only has nothing more to compare
+                    anchor = np.unique(of["hash"], return_inverse=True)[1]
+                    kinds = np.bincount(anchor[np.unique(group, return_index=True)[1]], minlength=anchor.max() + 1)
+                    ask = first & (kinds[anchor] > 1)
+                    out += _by_block(_WHOLE, blk[ask], {c: of[c][ask] for c in ("place", "size", "hash")})
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([o[0] for o in out], pa.int32()),
-                        pa.array([o[1] for o in out], pa.int32()),
-                        pa.array([block.blk] * len(out), pa.int64()),
-                        pa.array([len(o[2]["place"]) for o in out], pa.int32()),
-                        *[pa.array([squeezed(o[2][c].astype(t)) if c in o[2] else None for o in out], pa.binary()) for c, t in _TYPES.items()],
-                        pa.array([o[3] for o in out], pa.binary()),
-                    ],
-                    [c.split()[0] for c in _SENT.split(", ")],
-                )
+                yield _batch(out)
+
+    kinds = F.col("kind").isin(_HASHED, _HOT)
+    return sent.where(kinds).repartition(shards, "shard").sortWithinPartitions("shard", "blk").mapInArrow(run, _SCHEMA)
+
+
+def _whole(blocks: DataFrame, shards: int) -> DataFrame:
+    """The surroundings that were asked for, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, answers in opened(batches):
+            if not answers:
+                continue
+            of = {c: np.concatenate([spread(a[c], a["n"], *_TYPES[c]) for a in answers]) for c in ("place", "size", "hash")}
+            at = of["place"].astype(np.int64)
+            doc = np.searchsorted(block.off, at, side="right") - 1
+            of |= {"order": block.order[doc], "start": at - block.off[doc]}
+            data = block.raw.tobytes()
+            shard = shard_of(of["hash"], shards)
+            by = np.lexsort((at, shard))
+            cut = np.searchsorted(shard[by], np.arange(shards + 1))
+            out = []
+            for s, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                if j > i:
+                    rows = by[i:j]
+                    strings = b"".join([data[a : a + n] for a, n in zip(at[rows].tolist(), of["size"][rows].tolist(), strict=True)])
+                    out.append((_WHOLE, s, block.blk, {c: v[rows] for c, v in of.items()}, pa.compress(strings, codec="zstd", asbytes=True)))
+            yield _batch(out)
 
-    return blocks.mapInArrow(run, _SENT)
+    return blocks.mapInArrow(run, _SCHEMA)
 
 
 def _covered(part: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,106 +340,44 @@ def _covered(part: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return part[head], offset[head], offset[last] + LEAST - offset[head]
 
 
-def _settled(order: np.ndarray, start: np.ndarray, k: np.ndarray, hashes: np.ndarray, left: np.ndarray, strings: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, begin, size) of what starts earlier in other surroundings of the same anchor."""
-    numbers = _numbers(strings)
-    keys = np.rec.fromarrays([hashes, left, numbers])
-    _, lead, same = np.unique(keys, return_index=True, return_inverse=True)
-    first = first_of(order, start, k, same)
-    later = np.flatnonzero(~first)
-    size = np.array([len(s) for s in strings])
-    yield later, np.zeros(len(later), np.int64), size[later]
-    # one of each kind of surroundings stands for all; it is their first
-    lead = np.full(len(lead), -1)
-    lead[same[first]] = np.flatnonzero(first)
-    lead = lead[np.argsort(hashes[lead], kind="stable")]
-    groups = np.flatnonzero(np.concatenate([[True], hashes[lead][1:] != hashes[lead][:-1]]))
-    ends = np.append(groups[1:], len(lead))
-    # rows with one place speak together: what holds for one holds for all
-    twins = np.flatnonzero(first & ~np.isin(np.arange(len(first)), lead))
-    of_lead = {int(r): [int(r)] for r in lead}
-    by_same = {int(same[r]): int(r) for r in lead}
-    for t in twins:
-        of_lead[by_same[int(same[t])]].append(int(t))
-    todo: list[int] = []
-    filled = 0
-    for i, j in zip(groups, ends, strict=True):
-        if j - i < 2:
-            continue
-        todo += lead[i:j].tolist()
-        filled += int(size[lead[i:j]].sum())
-        if filled >= SORT_BYTES:
-            yield from _sorted_out(todo, of_lead, order, start, k, strings)
-            todo, filled = [], 0
-    if todo:
-        yield from _sorted_out(todo, of_lead, order, start, k, strings)
-
-
-def _sorted_out(rows: list[int], twins: dict[int, list[int]], order: np.ndarray, start: np.ndarray, k: np.ndarray, strings: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    at = np.array(rows)
-    part, offset, cls = repeats([np.frombuffer(strings[r], np.uint8) for r in rows])
-    if not len(part):
-        return
-    own = at[part]
-    later = ~first_of(order[own], start[own] + offset, k[own], cls)
-    part, begin, size = _covered(part[later], offset[later])
-    if not len(part):
-        return
-    yield at[part], begin, size
-    again = [(t, b, s) for r, b, s in zip(at[part].tolist(), begin.tolist(), size.tolist(), strict=True) for t in twins[r][1:]]
-    if again:
-        yield tuple(np.array(x) for x in zip(*again, strict=True))
-
-
-def _later(sent: DataFrame, shards: int) -> DataFrame:
-    """blk and answer (n, place, size): bytes that start earlier in another block, or in other surroundings."""
+def _expanded(sent: DataFrame, shards: int) -> DataFrame:
+    """What starts earlier in other surroundings of the same anchor, for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, every in by_group(batches, "shard"):
-            out: dict[int, list] = {}
-            for kind in (0, 2):
-                rows = [r for r in every if r["kind"] == kind]
-                if not rows:
+        for _, rows in by_group(batches, "shard"):
+            of, blk = _read(rows)
+            size = of["size"].astype(np.int64)
+            data = np.concatenate([np.frombuffer(pa.decompress(r["bytes"], decompressed_size=int(spread(r["size"], r["n"], "u1", False).sum(dtype=np.int64)), codec="zstd"), np.uint8) for r in rows])
+            at = np.cumsum(size) - size
+            by = np.argsort(of["hash"], kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], of["hash"][by][1:] != of["hash"][by][:-1]]))
+            # whole anchors, as many as fit a sort
+            room = np.cumsum(size[by])[np.append(heads[1:], len(by)) - 1] // SORT_BYTES
+            starts = heads[np.concatenate([[True], room[1:] != room[:-1]])]
+            for i, j in zip(starts, [*starts[1:], len(by)], strict=True):
+                own = by[i:j]
+                part, offset, cls = repeats([data[at[r] : at[r] + size[r]] for r in own])
+                if not len(part):
                     continue
-                of = {c: np.concatenate([spread(r[c], r["n"], t) for r in rows]) for c, t in _TYPES.items() if rows[0][c] is not None}
-                blk = np.repeat([r["blk"] for r in rows], [r["n"] for r in rows])
-                if kind == 2:
-                    second = np.concatenate([np.frombuffer(r["bytes"], "<u8") for r in rows])
-                    later = ~first_of(of["order"], of["start"], of["k"], np.unique(np.rec.fromarrays([of["hash"], second]), return_inverse=True)[1])
-                    found = [(np.flatnonzero(later), np.zeros(later.sum(), np.int64), np.full(later.sum(), LEAST))]
-                else:
-                    strings, n = [], 0
-                    for r in rows:
-                        size = of["size"][n : n + r["n"]].astype(np.int64)
-                        n += r["n"]
-                        data = pa.decompress(r["bytes"], decompressed_size=int(size.sum()), codec="zstd", asbytes=True)
-                        cut = np.concatenate([[0], np.cumsum(size)]).tolist()
-                        strings += [data[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                    found = _settled(of["order"], of["start"], of["k"], of["hash"], of["left"], strings)
-                for row, begin, size in found:
-                    by = np.argsort(blk[row], kind="stable")
-                    row, begin, size = row[by], begin[by], size[by]
-                    heads = np.flatnonzero(np.concatenate([[True], blk[row][1:] != blk[row][:-1]])) if len(row) else []
-                    for i, j in zip(heads, [*heads[1:], len(row)], strict=True):
-                        out.setdefault(int(blk[row[i]]), []).append((of["place"][row[i:j]].astype(np.int64) + begin[i:j], size[i:j]))
-            if out:
-                place = [np.concatenate([x[0] for x in v]) for v in out.values()]
-                size = [np.concatenate([x[1] for x in v]) for v in out.values()]
-                sort = [np.argsort(p, kind="stable") for p in place]
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([len(p) for p in place], pa.int32()), pa.array([squeezed(p[o].astype("<u4")) for p, o in zip(place, sort, strict=True)], pa.binary()), pa.array([squeezed(s[o].astype("u1")) for s, o in zip(size, sort, strict=True)], pa.binary())], ["blk", "n", "place", "size"])
+                row = own[part]
+                later = ~first_of(of["order"][row], of["start"][row] + offset, cls)
+                if later.any():
+                    part, begin, long = _covered(part[later], offset[later])
+                    yield _batch(_by_block(_OWN, blk[own[part]], {"place": of["place"][own[part]] + begin, "size": long}))
 
-    rows = sent.where("kind != 1").repartition(shards, "shard").sortWithinPartitions("shard", "blk", "kind")
-    return rows.mapInArrow(run, "blk long, n int, place binary, size binary").select("blk", F.struct("n", "place", "size").alias("answer"))
+    return sent.repartition(shards, "shard").sortWithinPartitions("shard", "blk").mapInArrow(run, _SCHEMA)
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_BLOCKS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept, the bytes left."""
-    blocks = packed(docs, id_col, text_col)
+    blocks = with_copies(packed(docs, id_col, text_col))
     shards = shards_of(blocks)
-    maybe = prefiltered(blocks, lambda b: anchors(b.raw, b.off)[1], shards, hot)
+    maybe = prefiltered(blocks, _asked, shards, hot)
     sent = written(_sent(answered(blocks, maybe), shards), "surroundings")
-    own = sent.where("kind = 1").select("blk", F.struct("n", "place", "size").alias("answer"))
-    gone = own.unionByName(_later(sent, shards))
+    compared = written(_compared(sent, shards), "compared")
+    asked = compared.where(F.col("kind") == _WHOLE).select("blk", F.struct("n", "place", "size", "hash").alias("answer"))
+    found = written(_expanded(_whole(answered(blocks, asked), shards), shards), "repeated")
+    gone = sent.unionByName(compared).unionByName(found).where(F.col("kind") == _OWN).select("blk", F.struct("n", "place", "size").alias("answer"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, answers in opened(batches):
@@ -343,8 +385,8 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot
             for a in answers:
                 place = spread(a["place"], a["n"], "<u4").astype(np.int64)
                 np.add.at(change, place, 1)
-                np.add.at(change, place + spread(a["size"], a["n"], "u1"), -1)
-            out = np.cumsum(change[:-1]) > 0
+                np.add.at(change, place + spread(a["size"], a["n"], "u1", False).astype(np.int64), -1)
+            out = (np.cumsum(change[:-1]) > 0) | np.repeat(block.copy & (np.diff(block.off) >= LEAST), np.diff(block.off))
             begins = out.copy()
             begins[1:] &= ~out[:-1]
             inner = block.off[:-1][np.diff(block.off) > 0]
