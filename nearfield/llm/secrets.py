@@ -95,17 +95,25 @@ def scanned(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source"
     return out.na.fill(0, ["n_live", "n_example", "n_standin", "n_unsure", "most_owners"])
 
 
-def redacted(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text") -> DataFrame:
-    """``docs`` with all its columns; live-looking values are replaced by their kind in brackets."""
-    found_ = found(docs, repo_col, owner_col, text_col, (repo_col,)).where(F.size("spans") > 0)
-    row = F.xxhash64("_repo", "_owner", "_text").alias("key")
-    flat = written(found_.select(row, F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), F.explode("spans").alias("span")), "secrets").distinct()
+def redacted(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """``docs`` with all its columns; live-looking values are replaced by their kind in brackets.
+
+    ``length_col`` names a column with the text's length, which follows.  Only
+    rows with candidates are read again, and only their verdicts are joined.
+    """
+    rows = found(docs, repo_col, owner_col, text_col, (repo_col,)).where(F.size("spans") > 0)
+    key = F.xxhash64("_repo", "_owner", "_text").alias("key")
+    flat = written(rows.select(key, F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), F.explode("spans").alias("span")), "secrets").distinct()
     live = classified(flat).where(F.col("verdict") == "live").groupBy("key").agg(F.collect_list("span").alias("_live"))
+    live = live.withColumnRenamed("key", "_key")
     text = text_of(docs, text_col)
-    key = F.xxhash64(docs[repo_col].cast("string"), docs[owner_col].cast("string"), text)
-    out = docs.join(live, key == F.col("key"), "left")
-    new = F.when(F.size("_live") > 0, masked(text, F.col("_live"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).otherwise(docs[text_col])
-    return out.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    out = docs.join(live, F.xxhash64(docs[repo_col].cast("string"), docs[owner_col].cast("string"), text) == F.col("_key"), "left")
+    some = F.col("_live").isNotNull()
+    new = masked(text, F.col("_live"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    changed = {text_col: F.when(some, new).otherwise(docs[text_col])}
+    if length_col:
+        changed[length_col] = F.when(some, F.length(new)).otherwise(docs[length_col]).cast(docs.schema[length_col].dataType)
+    return out.select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
 
 
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
