@@ -110,14 +110,19 @@ def anchors(raw: np.ndarray, off: np.ndarray, least: int = LEAST, gram: int = GR
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the ``depth`` bytes from each on, by doubling; the text goes on as _AFTER."""
-    rank = np.unique(_eights(text), return_inverse=True)[1].astype(np.int64)
-    have = 8
-    while have < depth:
+    n, key, have = len(text), _eights(text), 8
+    while True:
+        order = np.argsort(key)
+        ranked = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
+        if have >= depth:
+            return order
         step = min(have, depth - have)
-        after = np.concatenate([rank[step:], np.full(step, rank[-1])])
-        rank = np.unique(rank * (rank.max() + 1) + after, return_inverse=True)[1].astype(np.int64)
+        key = np.full(n, rank[-1])
+        key[:-step] = rank[step:]
+        key |= rank << 32
         have += step
-    return np.argsort(rank)
 
 
 def apart(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -127,25 +132,34 @@ def apart(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     """
     n = len(text)
     before = text[order - 1]  # the Burrows-Wheeler transform; the first place wraps to the end
-    to = np.empty(n, np.int64)  # the row of a row's string with its byte before
     by_byte = np.argsort(before, kind="stable")
-    to[by_byte] = np.arange(n)
+    to = np.empty(n, np.int32)  # the row of a row's string with its byte before
+    to[by_byte] = np.arange(n, dtype=np.int32)
     first = before[by_byte]
+    turn = np.concatenate([[False], first[1:] != first[:-1]])
     found = np.zeros(n + 1, bool)
     found[[0, n]] = True
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], np.int32), np.array([n], np.int32)
+    seat = np.empty(n, np.int32)
     for _ in range(least):  # the intervals are those of strings of this many bytes
         if not len(low):
             break
         size = high - low
-        own = np.repeat(np.arange(len(low)), size)
-        rows = np.arange(len(own)) + np.repeat(low - (np.cumsum(size) - size), size)
+        own = np.repeat(np.arange(len(low), dtype=np.int32), size)
+        rows = np.arange(len(own), dtype=np.int32) + np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size)
         t = to[rows]
-        by = np.argsort(t)
-        t, own = t[by], own[by]
-        head = np.concatenate([[True], (t[1:] != t[:-1] + 1) | (own[1:] != own[:-1]) | (first[t[1:]] != first[t[:-1]])])
-        begin = t[head]
-        end = t[np.concatenate([head[1:], [True]])] + 1
+        if 8 * len(t) > n:  # many rows are put in order faster by their seats
+            seat.fill(-1)
+            seat[t] = own
+            t = np.flatnonzero(seat >= 0).astype(np.int32)
+            own = seat[t]
+        else:
+            by = np.argsort(t)
+            t, own = t[by], own[by]
+        head = np.ones(len(t), bool)
+        head[1:] = (t[1:] != t[:-1] + 1) | (own[1:] != own[:-1]) | turn[t[1:]]
+        at = np.flatnonzero(head)
+        begin, end = t[at], t[np.append(at[1:], len(t)) - 1] + 1
         new = ~found[end]
         found[end[new]] = True
         low, high = begin[new], end[new]
