@@ -32,7 +32,7 @@ from .common import load, text_of, written
 CAP = 3
 WEIGHTS = (1, 2, 3)
 #: Rows that a flight takes at most, nearly: blocks are dealt by a hash.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 2_000
 #: Documents of a source that stay out of the flights and are landed with what those leave.
 HELD = 12
 SEED = 7
