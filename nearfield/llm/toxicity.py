@@ -201,7 +201,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), lists, pa.array(bits)], ["y", "voters", "bits"])
 
     # ordered, so that a rerun fits the same numbers
-    rows = sample.mapInArrow(vote, "y int, voters array<int>, bits long").orderBy("y", "bits", "voters").collect()
+    rows = sorted(sample.mapInArrow(vote, "y int, voters array<int>, bits long").collect(), key=lambda r: (r["y"], r["bits"], r["voters"]))
     votes = np.zeros((len(rows), len(entries) + N_PATTERNS))
     for k, r in enumerate(rows):
         votes[k, r["voters"]] = 1
