@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from . import textkit as tk
 from .common import bucketed, text_of, written
 
+#: Bytes of text in a block, but for a longer document, which is a block of its own.
+BLOCK_BYTES = 2 << 20
 #: Bits of a fingerprint within its shard, and of a counter's number.
 FINGER_BITS, CELL_BITS = 28, 25
 _LAST = np.iinfo(np.int64).max
@@ -40,7 +42,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
         for b in batches:
-            for first, end, raw, off in tk.chunks(b.column(1)):
+            for first, end, raw, off in tk.chunks(b.column(1), BLOCK_BYTES):
                 columns = [*b.slice(first, end - first).columns, *[pa.array(h.view(np.int64)) for h in two_hashes(raw, off[:-1], off[1:])]]
                 lists = [pa.ListArray.from_arrays(pa.array([0, end - first], pa.int32()), c) for c in columns]
                 yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), *lists], ["blk", "doc_id", "text", "one", "two"])

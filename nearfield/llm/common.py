@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a batch that goes to Python at most, where the session has the default: texts are long.
+BATCH_ROWS = "2000"
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _folders: list[tuple[SparkSession, str]] = []
 
 
@@ -69,4 +73,6 @@ def hex_sha(text: Column) -> Column:
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    if spark.conf.get(_BATCHES) == "10000":
+        spark.conf.set(_BATCHES, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

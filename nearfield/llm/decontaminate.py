@@ -220,8 +220,8 @@ def _merged(start: np.ndarray, stop: np.ndarray) -> int:
     return int((stop - np.maximum(start, np.concatenate([[0], stop[:-1]]))).clip(0).sum())
 
 
-def hits(blocks: DataFrame, rows: list, counts: dict[int, int]) -> DataFrame:
-    """key, doc_id, n_words, runs (start and end, by turns, of hit words in the document) and items of every document."""
+def hits(blocks: DataFrame, rows: list, counts: dict[int, int], last: bool = False) -> DataFrame:
+    """The summary, if this is all, or else key, doc_id, n_words, runs (start and end, by turns, of hit words in the document) and items of every document."""
     sc = blocks.sparkSession.sparkContext
     phrases = sc.broadcast(Phrases([np.array(r["window"], np.int64).view(np.uint64) for r in rows], counts))
     owners = sc.broadcast([r["items"] for r in rows])
@@ -247,24 +247,24 @@ def hits(blocks: DataFrame, rows: list, counts: dict[int, int]) -> DataFrame:
                     ["key", "doc_id", "n_words", "runs", "items"],
                 )
 
+    if last:
+        return blocks.mapInArrow(lambda batches: _sums(answer(batches)), _SUMMARY.format(id=id_type))
     return blocks.mapInArrow(answer, f"key string, doc_id {id_type}, n_words long, runs array<long>, items array<string>")
 
 
-def _summary(df: DataFrame) -> DataFrame:
-    """n_hit, n_items, items_sha256 and contaminated, of documents with all their runs and items."""
-    id_type = df.schema["doc_id"].dataType.simpleString()
+_SUMMARY = "doc_id {id}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hit = []
-            for r in b.column("runs"):
-                v = r.values.to_numpy(zero_copy_only=False).reshape(-1, 2) if len(r) else np.zeros((0, 2), np.int64)
-                hit.append(_merged(v[:, 0], v[:, 1]) if len(v) else 0)
-            items = [sorted(set(x)) for x in b.column("items").to_pylist()]
-            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha), pa.array([h > 0 for h in hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return df.mapInArrow(sums, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n_hit, n_items, items_sha256 and contaminated, of documents with all their runs and items."""
+    for b in batches:
+        hit = []
+        for r in b.column("runs"):
+            v = r.values.to_numpy(zero_copy_only=False).reshape(-1, 2) if len(r) else np.zeros((0, 2), np.int64)
+            hit.append(_merged(v[:, 0], v[:, 1]) if len(v) else 0)
+        items = [sorted(set(x)) for x in b.column("items").to_pylist()]
+        sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -280,14 +280,14 @@ def decontaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Dat
         listed = blocks.select(F.explode(F.arrays_zip("terms", "sizes")).alias("z")).select("z.terms", "z.sizes")
         known = docs.sparkSession.createDataFrame(pa.table({"terms": pa.array(terms.view(np.int64))}))
         counts = listed.join(F.broadcast(known), "terms", "left_semi").groupBy("terms").agg(F.sum("sizes").alias("n"))
-        parts.append(hits(blocks, rows, {r["terms"] & ((1 << 64) - 1): r["n"] for r in counts.collect()}))  # the round's terms at most
+        parts.append(hits(blocks, rows, {r["terms"] & ((1 << 64) - 1): r["n"] for r in counts.collect()}, len(rounds) == 1))  # the round's terms at most
     if len(parts) == 1:
-        return _summary(parts[0].drop("key"))
+        return parts[0]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
     every = every.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
-    return _summary(every.drop("key"))
+    return every.drop("key").mapInArrow(_sums, _SUMMARY.format(id=every.schema["doc_id"].dataType.simpleString()))
 
 
 def kept(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id") -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1_000_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
