@@ -1,11 +1,264 @@
-"""Queries by name, and their SQL."""
+"""Queries by name over the driver's tables, and their SQL.
+
+Searches take every row whose id is divisible by 20 as a query, against all
+rows.  Fixed centroids are the first rows by id, so that SQL can name them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import curves
+from ..functions import vectors as V
+from ..operators import cliques, clustering, graphs, ivf, knn, prune, search, tree
+
+K = 10
+CENTROIDS = 8
+DEGREE = 8
+RADIUS = 1.1
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).where(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+
+
+def first_rows(spark: SparkSession, d: str, n: int = CENTROIDS) -> np.ndarray:
+    return knn.matrix(vectors(spark, d).where(F.col("id") < n).orderBy("id").select("vec").toArrow()["vec"].combine_chunks())
+
+
+def neighbour_edges(spark: SparkSession, d: str) -> DataFrame:
+    """src, pos, dst and d of the graph of DEGREE nearest others."""
+    v = vectors(spark, d)
+    near = knn.knn(v.select(F.col("id").alias("qid"), F.col("vec").alias("qvec")), v, DEGREE, skip_self=True)
+    return near.select(F.col("qid").alias("src"), F.col("rank").alias("pos"), F.col("nbr").alias("dst"), F.col("dist").alias("d"))
+
+
+def _knn(metric: str) -> Callable:
+    return lambda s, d: knn.knn(asked(s, d), vectors(s, d), K, metric)
+
+
+def _pairs(metric: str) -> Callable:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        a = vectors(s, d)
+        b = a.select((F.col("id") - 1).alias("id"), F.col("vec").alias("next"))
+        return a.join(b, "id").select("id", V.metric(metric)(F.col("vec"), F.col("next")).alias("dist"))
+
+    return run
+
+
+def _recall(found: DataFrame, truth: DataFrame) -> DataFrame:
+    listed = lambda df, name: df.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "nbr"))), lambda x: x["nbr"]).alias(name))
+    both = listed(truth, "truth").join(listed(found, "found"), "qid", "left")
+    return both.select("qid", V.recall(F.coalesce("found", F.array().cast("array<long>")), F.col("truth")).alias("recall"))
+
+
+def two_level_tree(s: SparkSession, d: str) -> tree.Tree:
+    """Roots are rows 0 to 3; leaves rows 4 to 19 under their nearest root, with the rows nearest to them."""
+    v, c = vectors(s, d), first_rows(s, d, 20)
+    roots, leaves = c[:4], c[4:]
+    under = [int(np.argmin([V.pair_distances("euclidean", x[None], r[None])[0] for r in roots])) for x in leaves]
+    rows = [(i, None, 0, i not in under, roots[i].tolist()) for i in range(4)] + [(i + 4, under[i], 1, True, x.tolist()) for i, x in enumerate(leaves)]
+    nodes = s.createDataFrame(rows, "node_id long, parent_id long, depth int, is_leaf boolean, cvec array<double>")
+    points = clustering.assigned(v, leaves).select((F.col("cid") + 4).alias("node_id"), "id")
+    return tree.Tree(nodes, points, v)
+
+
+def _kmeans(s: SparkSession, d: str, rounds: int) -> DataFrame:
+    c = clustering.kmeans(vectors(s, d), CENTROIDS, rounds, init=first_rows(s, d))
+    rows = [(k, j, float(x)) for k, v in enumerate(c) for j, x in enumerate(v)]
+    return s.createDataFrame(rows, "cid long, pos int, x double").withColumn("x", F.round("x", 6))
+
+
+def _nodes(s: SparkSession, d: str) -> DataFrame:
+    return vectors(s, d).select("id")
+
+
+def _adj(s: SparkSession, d: str) -> DataFrame:
+    return graphs.adjacency(_nodes(s, d), neighbour_edges(s, d))
+
+
+def _duplicates(s: SparkSession, d: str) -> DataFrame:
+    c = graphs.components(_nodes(s, d), knn.within(vectors(s, d), RADIUS))
+    size = c.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    return c.join(size, "component").select("id", "component", "size")
+
+
+def _knn_graph(s: SparkSession, d: str) -> search.Graph:
+    return search.from_adjacency(vectors(s, d), _adj(s, d))
+
+
+def _compact(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = neighbour_edges(s, d)
+    return e, cliques.posting(cliques.disjoint(cliques.maximal(_nodes(s, d), e)))
+
+
+def _compact_search(s: SparkSession, d: str) -> DataFrame:
+    e, lists = _compact(s, d)
+    ends = cliques.compacted(e, lists)
+    adj = ends.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("nbrs"))
+    hits = search.from_adjacency(vectors(s, d), adj).search(asked(s, d), 40, width=40)
+    more = cliques.expanded(hits, lists).join(vectors(s, d), "id").join(asked(s, d), "qid")
+    return more.select("qid", F.col("id").alias("nbr"), V.euclidean(F.col("qvec"), F.col("vec")).alias("dist"))
+
+
+def _hilbert(s: SparkSession, d: str) -> DataFrame:
+    part = s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_retailprice")
+    g = curves.on_grid(part, "p_size", "p_retailprice", 10)
+    return g.select("p_partkey", F.col("gx").alias("gx"), F.col("gy").alias("gy"), curves.hilbert(F.col("gx"), F.col("gy"), 10).alias("place"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    e = neighbour_edges
+    flat = lambda df: df.select("src", "pos", "dst", "d")
+    return {
+        **{f"pair_{m}": _pairs(m) for m in V.METRICS},
+        "knn_exact": _knn("euclidean"),
+        "knn_squared": _knn("squared_euclidean"),
+        "knn_cosine": _knn("cosine"),
+        "knn_inner_product": _knn("inner_product"),
+        "knn_internal": lambda s, d: e(s, d),
+        "knn_subset": lambda s, d: knn.knn(asked(s, d), knn.subset(vectors(s, d), vectors(s, d).where("id % 3 = 0").select((F.col("id") / 3).cast("long").alias("sub_id"), "id")), K),
+        "ground_truth_padded": lambda s, d: knn.ground_truth(asked(s, d), vectors(s, d).where(F.col("id") < 5), K),
+        "closest_candidate": lambda s, d: knn.closest(asked(s, d), asked(s, d).select("qid", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("pos")).withColumn("id", F.col("pos").cast("long") * 7 + 1), vectors(s, d)),
+        "distances_within": lambda s, d: knn.within(vectors(s, d), RADIUS),
+        "kmeans_assign": lambda s, d: clustering.assigned(vectors(s, d), first_rows(s, d)).select("id", "cid", "dist"),
+        "kmeans_spillover": lambda s, d: clustering.assigned(vectors(s, d), first_rows(s, d), 3),
+        "kmeans_compat0": lambda s, d: _kmeans(s, d, 0),
+        "kmeans_step": lambda s, d: _kmeans(s, d, 1),
+        "kmeans_three_steps": lambda s, d: _kmeans(s, d, 3),
+        "ivf_search": lambda s, d: ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2),
+        "ivf_recall": lambda s, d: _recall(ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2), knn.knn(asked(s, d), vectors(s, d), K)),
+        "kmt_search_beam": lambda s, d: two_level_tree(s, d).search(asked(s, d), K, 3),
+        "kmt_search_path": lambda s, d: two_level_tree(s, d).search(asked(s, d), K, 1),
+        "kmt_built_search": lambda s, d: tree.build(vectors(s, d), 5, 60).search(asked(s, d), K, 8),
+        "edge_filter_epsilon": lambda s, d: flat(graphs.shorter_than(e(s, d), 1.15)),
+        "edge_filter_percentile": lambda s, d: flat(graphs.percentile(e(s, d), 75.0)),
+        "edge_filter_shortest_k": lambda s, d: flat(graphs.shortest(e(s, d), 3)),
+        "mutual_edges": lambda s, d: graphs.mutual(e(s, d)).select("src", "dst"),
+        "graph_stats": lambda s, d: graphs.statistics(graphs.adjacency(_nodes(s, d), graphs.mutual(e(s, d)))),
+        "degree_histogram": lambda s, d: graphs.degrees(graphs.adjacency(_nodes(s, d), graphs.mutual(e(s, d)))),
+        "duplicate_groups": _duplicates,
+        "global_local_prune": lambda s, d: prune.global_local(vectors(s, d), prune.robust_prune),
+        "robust_prune": lambda s, d: prune.pruned(e(s, d), vectors(s, d), 1.01, 4).select("src", F.posexplode("nbrs").alias("pos", "dst")),
+        "beam_search": lambda s, d: _knn_graph(s, d).search(asked(s, d), K, 20),
+        "beam_search_trace": lambda s, d: _knn_graph(s, d).walks(asked(s, d), 10).select("qid", F.posexplode("steps").alias("step", "s")).select("qid", "step", "s.expanded", "s.beam"),
+        "vamana_search": lambda s, d: search.build_vamana(vectors(s, d), beam=40).search(asked(s, d), K, 40),
+        "mutual_cliques": lambda s, d: cliques.maximal(_nodes(s, d), e(s, d)),
+        "disjoint_cliques": lambda s, d: cliques.disjoint(cliques.maximal(_nodes(s, d), e(s, d))),
+        "clique_summary": lambda s, d: cliques.summary(cliques.maximal(_nodes(s, d), e(s, d))),
+        "compact_remap": lambda s, d: cliques.compacted(*_compact(s, d)),
+        "compact_search": _compact_search,
+        "pareto_front": lambda s, d: curves.pareto(s.read.parquet(f"{d}/part.parquet"), "p_size", "p_retailprice", ("p_brand",)),
+        "hilbert_order": _hilbert,
+        "exact_duplicates": lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy("p_size", "p_retailprice").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1"),
+    }
+
+
+def _l2(a: str, b: str, root: bool = True) -> str:
+    d = f"list_sum(list_transform(list_zip({a}, {b}), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE)))"
+    return f"sqrt({d})" if root else d
+
+
+def _dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))"
+
+
+def _sql_metric(name: str, a: str, b: str) -> str:
+    return {"euclidean": _l2(a, b), "squared_euclidean": _l2(a, b, False), "inner_product": f"-{_dot(a, b)}", "cosine": f"1 - {_dot(a, b)} / (sqrt({_dot(a, a)}) * sqrt({_dot(b, b)}))"}[name]
+
+
+_V = "v AS (SELECT vec_id AS id, embedding AS vec FROM embeddings)"
+_Q = "q AS (SELECT id AS qid, vec AS qvec FROM v WHERE id % 20 = 0)"
+
+
+def _top(source: str, k: int, metric: str = "euclidean") -> str:
+    """The k nearest of (qid, qvec, id, vec)."""
+    d = f"SELECT qid, id AS nbr, {_sql_metric(metric, 'qvec', 'vec')} AS dist FROM ({source})"
+    return f"SELECT qid, (rn - 1)::INT AS rank, nbr, dist FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, nbr) AS rn FROM ({d})) WHERE rn <= {k}"
+
+
+_EDGES = f"e AS (SELECT qid AS src, rank AS pos, nbr AS dst, dist AS d FROM ({_top('SELECT a.id AS qid, a.vec AS qvec, b.id, b.vec FROM v a JOIN v b ON a.id <> b.id', DEGREE)}))"
+_MUTUAL = "m AS (SELECT src, dst FROM e WHERE EXISTS (SELECT 1 FROM e f WHERE f.src = e.dst AND f.dst = e.src))"
+_DEG = "g AS (SELECT v.id, count(m.src) AS deg FROM v LEFT JOIN m ON m.src = v.id GROUP BY v.id)"
+
+
+def _near(rows: str, centres: str, s: int, where: str = "true") -> str:
+    """id, cid, rank and dist of the s nearest of (cid, cvec)."""
+    return f"SELECT id, cid, (rn - 1)::INT AS rank, dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, cid) AS rn FROM (SELECT r.id, c.cid, {_l2('r.vec', 'c.cvec')} AS dist FROM {rows} r, {centres} c WHERE {where})) WHERE rn <= {s}"
+
+
+def _lloyd(rounds: int) -> str:
+    c = f"c0 AS (SELECT id AS cid, vec::DOUBLE[] AS cvec FROM v WHERE id < {CENTROIDS})"
+    for k in range(rounds):
+        c += f""", a{k} AS ({_near("v", f"c{k}", 1)}), s{k} AS (SELECT a.cid, p AS pos, avg(v.vec[p + 1]::DOUBLE) AS x FROM a{k} a JOIN v ON v.id = a.id, range(64) t(p) GROUP BY ALL),
+        c{k + 1} AS (SELECT c.cid, coalesce(n.nv, c.cvec) AS cvec FROM c{k} c LEFT JOIN (SELECT cid, list(x ORDER BY pos) AS nv FROM s{k} GROUP BY cid) n ON n.cid = c.cid)"""
+    return f"WITH {_V}, {c} SELECT cid, p::INT AS pos, round(cvec[p + 1], 6) AS x FROM c{rounds}, range(64) t(p)"
+
+
+def _tree(beam: int) -> str:
+    roots, leaves = "(SELECT id AS cid, vec AS cvec FROM v WHERE id < 4)", "(SELECT id AS cid, vec AS cvec FROM v WHERE id BETWEEN 4 AND 19)"
+    return f"""WITH {_V}, {_Q}, l AS (SELECT * FROM v WHERE id BETWEEN 4 AND 19), up AS ({_near("l", roots, 1)}), pts AS ({_near("v", leaves, 1)}),
+    n AS (SELECT id AS node, vec AS cvec, id < 4 AND id IN (SELECT cid FROM up) AS inner_ FROM v WHERE id < 4),
+    b0 AS (SELECT * FROM (SELECT qid, node, inner_, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, node) AS rn FROM (SELECT q.qid, n.node, n.inner_, {_l2("q.qvec", "n.cvec")} AS dist FROM q, n)) WHERE rn <= {beam}),
+    b1 AS (SELECT qid, node, dist FROM b0 WHERE NOT inner_ UNION ALL SELECT q.qid, up.id, {_l2("q.qvec", "l.vec")} FROM b0 JOIN up ON up.cid = b0.node JOIN l ON l.id = up.id JOIN q ON q.qid = b0.qid WHERE b0.inner_),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, node) AS rn FROM b1) WHERE rn <= {beam}),
+    h AS (SELECT DISTINCT b.qid, pts.id FROM b JOIN pts ON pts.cid = b.node)
+    {_top("SELECT h.qid, q.qvec, v.id, v.vec FROM h JOIN q ON q.qid = h.qid JOIN v ON v.id = h.id", K)}"""
+
 
-def queries() -> dict:
-    return {}
+def _hilbert_sql(order: int) -> str:
+    """The place on the curve by one step a bit, from the highest."""
+    steps = f"h{order} AS (SELECT p_partkey, gx, gy, gx::BIGINT AS x, gy::BIGINT AS y, 0::BIGINT AS place FROM g)"
+    for k in range(order - 1, -1, -1):
+        s = 1 << k
+        steps += f""", h{k} AS (SELECT p_partkey, gx, gy,
+        CASE WHEN NOT up AND rt THEN {s - 1} - ly WHEN NOT up THEN ly ELSE lx END AS x, CASE WHEN NOT up AND rt THEN {s - 1} - lx WHEN NOT up THEN lx ELSE ly END AS y,
+        place + (CASE WHEN NOT rt AND NOT up THEN 0 WHEN NOT rt THEN 1 WHEN up THEN 2 ELSE 3 END) * {1 << (2 * k)} AS place
+        FROM (SELECT *, (x & {s}) <> 0 AS rt, (y & {s}) <> 0 AS up, x & {s - 1} AS lx, y & {s - 1} AS ly FROM h{k + 1}))"""
+    return steps
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    every = "SELECT q.qid, q.qvec, v.id, v.vec FROM q, v"
+    top = f"WITH {_V}, {_Q} "
+    graph = f"WITH {_V}, {_EDGES}"
+    c8 = f"(SELECT id AS cid, vec AS cvec FROM v WHERE id < {CENTROIDS})"
+    probe = f"p AS ({_near('(SELECT qid AS id, qvec AS vec FROM q)', c8, 2)}), o AS ({_near('v', c8, 1)})"
+    ivf_ = _top("SELECT p.id AS qid, q.qvec, v.id, v.vec FROM p JOIN q ON q.qid = p.id JOIN o ON o.cid = p.cid JOIN v ON v.id = o.id", K)
+    most = 1023
+    return {
+        **{f"pair_{m}": f"WITH {_V} SELECT a.id, {_sql_metric(m, 'a.vec', 'b.vec')} AS dist FROM v a JOIN v b ON b.id = a.id + 1" for m in V.METRICS},
+        **{n: top + _top(every, K, m) for n, m in (("knn_exact", "euclidean"), ("knn_squared", "squared_euclidean"), ("knn_cosine", "cosine"), ("knn_inner_product", "inner_product"))},
+        "knn_internal": f"{graph} SELECT * FROM e",
+        "knn_subset": top + _top("SELECT q.qid, q.qvec, v.id, v.vec FROM q, v WHERE v.id % 3 = 0", K),
+        "ground_truth_padded": f"WITH {_V}, {_Q}, t AS ({_top('SELECT q.qid, q.qvec, v.id, v.vec FROM q, v WHERE v.id < 5', K)}) SELECT q.qid, r::INT AS rank, coalesce(t.nbr, {knn.PAD_ID})::BIGINT AS nbr, coalesce(t.dist, {knn.PAD_DISTANCE!r}::DOUBLE) AS dist FROM q CROSS JOIN range({K}) x(r) LEFT JOIN t ON t.qid = q.qid AND t.rank = r",
+        "closest_candidate": f"{top} SELECT qid, arg_min(pos, dist)::INT AS pos FROM (SELECT q.qid, r AS pos, {_l2('q.qvec', 'v.vec')} AS dist FROM q, range(10) x(r), v WHERE v.id = r * 7 + 1) GROUP BY qid",
+        "distances_within": f"WITH {_V} SELECT * FROM (SELECT a.id AS i, b.id AS j, {_l2('a.vec', 'b.vec')} AS d FROM v a JOIN v b ON a.id < b.id) WHERE d < {RADIUS}",
+        "kmeans_assign": f"WITH {_V} SELECT id, cid, dist FROM ({_near('v', c8, 1)})",
+        "kmeans_spillover": f"WITH {_V} {_near('v', c8, 3)}",
+        "kmeans_compat0": _lloyd(0),
+        "kmeans_step": _lloyd(1),
+        "kmeans_three_steps": _lloyd(3),
+        "ivf_search": f"{top[:-1]}, {probe} {ivf_}",
+        "ivf_recall": f"{top[:-1]}, {probe}, f AS ({ivf_}), t AS ({_top(every, K)}), n AS (SELECT q.qid, (SELECT count(*) FROM f WHERE f.qid = q.qid) AS c FROM q) SELECT n.qid, CASE WHEN least(c, {K}) > 0 THEN (SELECT count(*) FROM f JOIN t ON t.qid = f.qid AND t.nbr = f.nbr WHERE f.qid = n.qid AND f.rank < c AND t.rank < c) / least(c, {K}) END AS recall FROM n",
+        "kmt_search_beam": _tree(3),
+        "kmt_search_path": _tree(1),
+        "edge_filter_epsilon": f"{graph} SELECT * FROM e WHERE d <= 1.15",
+        "edge_filter_percentile": f"{graph} SELECT * FROM e WHERE d <= (SELECT d FROM (SELECT d, row_number() OVER (ORDER BY d) AS rn FROM e) WHERE rn = (SELECT floor(0.75 * (count(*) - 1)) + 1 FROM e))",
+        "edge_filter_shortest_k": f"{graph} SELECT src, (rn - 1)::INT AS pos, dst, d FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, pos) AS rn FROM e) WHERE rn <= 3",
+        "mutual_edges": f"{graph}, {_MUTUAL} SELECT * FROM m",
+        "graph_stats": f"{graph}, {_MUTUAL}, {_DEG} SELECT count(*) AS nodes, sum(deg)::BIGINT AS edges, round(avg(deg), 2) AS avg_degree, min(deg)::INT AS min_degree, max(deg)::INT AS max_degree, 0::BIGINT AS self_loops FROM g",
+        "degree_histogram": f"{graph}, {_MUTUAL}, {_DEG} SELECT deg::INT AS degree, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM g), 2)::DOUBLE AS percent FROM g GROUP BY deg",
+        "duplicate_groups": f"WITH RECURSIVE {_V}, l AS (SELECT a.id AS i, b.id AS j FROM v a JOIN v b ON a.id <> b.id WHERE {_l2('a.vec', 'b.vec')} < {RADIUS}), r AS (SELECT id, id AS c FROM v UNION SELECT l.j, r.c FROM r JOIN l ON l.i = r.id WHERE r.c < l.j), k AS (SELECT id, min(c) AS component FROM r GROUP BY id) SELECT id, component, size FROM (SELECT *, count(*) OVER (PARTITION BY component) AS size FROM k) WHERE size > 1",
+        "pareto_front": "SELECT p_brand, p_size, p_retailprice FROM (SELECT p_brand, p_size, max(p_retailprice) AS p_retailprice FROM part GROUP BY ALL) a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_size > a.p_size AND b.p_retailprice >= a.p_retailprice)",
+        "hilbert_order": f"WITH x AS (SELECT min(p_size) AS x0, max(p_size) AS x1, min(p_retailprice) AS y0, max(p_retailprice) AS y1 FROM part), g AS (SELECT p_partkey, trunc((p_size - x0) / (x1 - x0) * {most})::INT AS gx, trunc((p_retailprice - y0) / (y1 - y0) * {most})::INT AS gy FROM part, x), {_hilbert_sql(10)} SELECT p_partkey, gx, gy, place FROM h0",
+        "exact_duplicates": "SELECT p_size, p_retailprice, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL HAVING count(*) > 1",
+    }
