@@ -8,7 +8,7 @@ than its share of queries.  One shard is the whole graph where it fits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import pair_distances
 from .knn import _blocks, matrix
-from .prune import robust_prune
+from .prune import quick, robust_prune
 
 SHARD_BYTES = 256 << 20
 
@@ -33,9 +33,13 @@ class Walk:
     compared: int = 0
 
 
-def beam_search(q: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray], start: int, width: int, limit: int | None = None) -> Walk:
+def exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return pair_distances("euclidean", x, q[None, :])
+
+
+def beam_search(q: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray], start: int, width: int, limit: int | None = None, measure: Callable[[np.ndarray, np.ndarray], np.ndarray] = exact) -> Walk:
     """Expands the nearest unvisited entry of the beam until all are visited, or ``limit`` are."""
-    d0 = float(pair_distances("euclidean", x[[start]], q[None, :])[0])
+    d0 = float(measure(x[[start]], q)[0])
     walk = Walk([(start, d0)], compared=1)
     seen, visited = {start}, set()
     while True:
@@ -47,7 +51,7 @@ def beam_search(q: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray], start: int
         new = [int(n) for n in nbrs[at[0]] if int(n) not in seen]
         seen.update(new)
         if new:
-            d = pair_distances("euclidean", x[new], q[None, :])
+            d = measure(x[new], q)
             walk.compared += len(new)
             walk.beam = sorted([*walk.beam, *zip(new, d.tolist(), strict=True)], key=lambda e: e[1])[:width]
         walk.steps.append((at[0], [n for n, _ in walk.beam]))
@@ -73,12 +77,12 @@ def vamana(x: np.ndarray, alpha: float = 1.01, bound: int = 8, beam: int = 100,
     for i in np.random.default_rng(seed).permutation(len(x)):
         if i == root:
             continue
-        seen = np.array([n for n, _ in beam_search(x[i], x, nbrs, root, beam, limit).visited if n != i])
+        seen = np.array([n for n, _ in beam_search(x[i], x, nbrs, root, beam, limit, quick).visited if n != i])
         own = np.unique(np.concatenate([seen, nbrs[i]]).astype(int))
-        nbrs[i] = own[robust_prune(x[i], x[own], alpha, bound)]
+        nbrs[i] = own[robust_prune(x[i], x[own], alpha, bound, quick)]
         for n in nbrs[i]:
             back = nbrs[n] if i in nbrs[n] else np.append(nbrs[n], i)
-            nbrs[n] = back if len(back) <= bound else back[robust_prune(x[n], x[back], alpha, bound)]
+            nbrs[n] = back if len(back) <= bound else back[robust_prune(x[n], x[back], alpha, bound, quick)]
     return nbrs
 
 
