@@ -214,9 +214,11 @@ def _read(rows: list[dict]) -> tuple[dict[str, np.ndarray], np.ndarray]:
 
 def _by_block(kind: int, blk: np.ndarray, columns: dict[str, np.ndarray]) -> list[tuple]:
     """A row for each block, its entries in the order of their places."""
+    if not len(blk):
+        return []
     by = np.lexsort((columns["place"], blk))
     blk, columns = blk[by], {c: v[by] for c, v in columns.items()}
-    heads = np.flatnonzero(np.concatenate([[True], blk[1:] != blk[:-1]])) if len(blk) else []
+    heads = np.flatnonzero(np.concatenate([[True], blk[1:] != blk[:-1]]))
     return [(kind, -1, int(blk[i]), {c: v[i:j] for c, v in columns.items()}, None) for i, j in zip(heads, [*heads[1:], len(blk)], strict=True)]
 
 
