@@ -107,7 +107,8 @@ def _later(docs, places):
 
 def word_dedup(docs, width=20):
     words = lambda t: re.findall(SPACED, t)
-    later = _later(docs, lambda t: [(k, tuple(words(t)[k : k + width])) for k in range(len(words(t)) - width + 1)])
+    runs = lambda w: [(k, tuple(w[k : k + width])) for k in range(len(w) - width + 1)]
+    later = _later(docs, lambda t: runs(words(t)))
     for (i, t), starts in zip(docs, later, strict=True):
         w = words(t or "")
         gone = {k for s in starts for k in range(s, s + width)}
@@ -115,7 +116,8 @@ def word_dedup(docs, width=20):
 
 
 def byte_dedup(docs, least=100):
-    later = _later(docs, lambda t: [(k, t.encode()[k : k + least]) for k in range(len(t.encode()) - least + 1)])
+    runs = lambda raw: [(k, raw[k : k + least]) for k in range(len(raw) - least + 1)]
+    later = _later(docs, lambda t: runs(t.encode()))
     for (i, t), starts in zip(docs, later, strict=True):
         raw = (t or "").encode()
         gone = np.zeros(len(raw), bool)
