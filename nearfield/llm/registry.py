@@ -10,6 +10,7 @@ from .chat import op4_chat
 from .decontaminate import op3_decontaminate
 from .mixing import op5_mixing
 from .neardup import op6_neardup
+from .oracles import oracle_sql as oracle_sql
 from .pii import op1_pii
 from .quality import op10_quality_rules
 from .secrets import op2_secrets
@@ -33,7 +34,3 @@ def queries() -> dict[str, Query]:
         "op9_substring": op9_substring,
         "op10_quality_rules": op10_quality_rules,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
