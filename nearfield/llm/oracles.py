@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from .quality import POLICIES, RULES, mask
+
+from .quality import POLICIES, RULES, mask
+
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOWERED = f"translate(coalesce(text, ''), '{_UP}', '{_LOW}')"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
@@ -77,6 +81,26 @@ sha256(unhex(coalesce(h.hx, '') || substr(d.hx, (2 * coalesce(last, 0) + 1)::BIG
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN h ON h.doc_id = d.doc_id
 """
 
+_BITS = " + ".join(f"(CASE WHEN {r.fails} THEN {1 << k} ELSE 0 END)" for k, r in enumerate(RULES))
+_GAP = r"[\x20\x09-\x0D]+"
+
+QUALITY = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w,
+list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_SPACED})) AS l FROM documents),
+x AS (SELECT doc_id, i, w[i : i + 4] AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 4)),
+y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM x),
+r AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS place FROM y WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{_GAP}', '', 'g'))::BIGINT AS word_chars,
+(length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+length(t) - length(translate(t, '{_UP}', '')) AS n_capitals, length(t) - length(translate(t, '0123456789', '')) AS n_digits,
+length(t) - length(translate(t, '{{}}[]\=', '')) AS n_braces, len(l) AS n_lines,
+len(list_filter(l, lambda v: contains(t, chr(10)) AND ends_with(rtrim(v), '...'))) AS n_ellipses,
+len(list_filter(l, lambda v: contains(t, chr(10)) AND regexp_matches(ltrim(v), '^[-*•] '))) AS n_bullets,
+len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_stutters FROM d LEFT JOIN r ON r.doc_id = d.doc_id),
+f AS (SELECT *, ({_BITS})::BIGINT AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & {mask(POLICIES["base"])}) <> 0 AS base_failed, (failed & {mask(POLICIES["v1"])}) = 0 AS kept, failed FROM f
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": DECONTAMINATE, "op4_chat": CHAT, "op6_neardup": NEARDUP, "op8_suffix": SUFFIX, "op9_substring": SUBSTRING}
+    return {"op3_decontaminate": DECONTAMINATE, "op4_chat": CHAT, "op6_neardup": NEARDUP, "op8_suffix": SUFFIX, "op9_substring": SUBSTRING, "op10_quality_rules": QUALITY}
