@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 from pathlib import Path
@@ -13,15 +14,24 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends the package to the session's executors, which may not have it; once a session."""
+    """Makes the package known to the session's Python workers, once a session.
+
+    Nothing is needed where PYTHONPATH has it.  Workers on the driver's machine
+    get its folder in theirs; others get the package itself.
+    """
+    root = Path(__file__).resolve().parent
     app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        _shipped.add(app)
-        root = Path(__file__).resolve().parent
-        top = Path(tempfile.mkdtemp(prefix="nearfield-"))
-        atexit.register(shutil.rmtree, top, ignore_errors=True)
-        shutil.copytree(root, top / "tree" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(str(top / "nearfield_package"), "zip", top / "tree"))
+    if app in _shipped or str(root.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return spark
+    _shipped.add(app)
+    if spark.sparkContext.master.startswith("local["):
+        have = spark.sparkContext.environment.get("PYTHONPATH", "")
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [str(root.parent), have]))
+        return spark
+    top = Path(tempfile.mkdtemp(prefix="nearfield-"))
+    atexit.register(shutil.rmtree, top, ignore_errors=True)
+    shutil.copytree(root, top / "tree" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(str(top / "nearfield_package"), "zip", top / "tree"))
     return spark
 
 
