@@ -68,10 +68,24 @@ def disjoint(cliques: DataFrame) -> DataFrame:
 
 
 def summary(cliques: DataFrame) -> DataFrame:
-    """One row: cliques of two or more, their largest, smallest and mean size, the nodes they cover, and what contraction saves."""
+    """One row: cliques of two or more, their largest, smallest and mean size, what contraction saves, and the nodes they cover."""
     big = cliques.where(F.size("members") > 1)
     size = F.size("members")
-    return big.agg(F.count("*").alias("cliques"), F.max(size).alias("largest"), F.min(size).alias("smallest"), F.round(F.avg(size), 2).alias("mean"), F.coalesce(F.sum(size - 1), F.lit(0)).alias("saved"))
+    sizes = big.agg(F.count("*").alias("cliques"), F.max(size).alias("largest"), F.min(size).alias("smallest"), F.round(F.avg(size), 2).alias("mean"), F.coalesce(F.sum(size - 1), F.lit(0)).cast("long").alias("saved"))
+    covered = big.select(F.explode("members").alias("v")).distinct().agg(F.count("*").alias("covered"))
+    return sizes.crossJoin(F.broadcast(covered))
+
+
+def sizes(cliques: DataFrame) -> DataFrame:
+    """How many cliques have each size, and the places in them; a node counts in each of its cliques."""
+    return cliques.groupBy(F.size("members").alias("size")).agg(F.count("*").alias("n")).withColumn("points", F.col("size") * F.col("n"))
+
+
+def invalid(cliques: DataFrame, edges: DataFrame) -> DataFrame:
+    """members, a and b: pairs of members that no mutual edge links."""
+    m = mutual(edges).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    pairs = cliques.select("members", F.explode("members").alias("a")).select("members", "a", F.explode("members").alias("b")).where("a < b")
+    return pairs.join(m, ["a", "b"], "left_anti").select("members", "a", "b")
 
 
 def posting(cliques: DataFrame) -> DataFrame:

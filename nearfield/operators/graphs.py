@@ -66,6 +66,15 @@ def mutual(edges: DataFrame) -> DataFrame:
     return edges.join(back, ["src", "dst"], "left_semi")
 
 
+def nearest_linked(edges: DataFrame, nearest: DataFrame) -> DataFrame:
+    """One row: how many nodes (src) have a nearest other (dst), an edge to it, and one from it."""
+    have = edges.select("src", "dst").distinct()
+    to = have.withColumn("_to", F.lit(True))
+    back = have.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("_back"))
+    rows = nearest.select("src", "dst").join(to, ["src", "dst"], "left").join(back, ["src", "dst"], "left")
+    return rows.agg(F.count("*").alias("nodes"), F.count("_to").alias("linked"), F.count("_back").alias("linked_back"))
+
+
 def statistics(adj: DataFrame) -> DataFrame:
     """One row: nodes, edges, mean (two decimals), least and largest degree, self loops."""
     size = F.size("nbrs")

@@ -102,9 +102,8 @@ class Graph:
 
     shards: DataFrame
 
-    def walks(self, queries: DataFrame, width: int, limit: int | None = None) -> DataFrame:
-        """qid, shard, beam and visited (lists of id and dist), steps (expanded, beam) and compared."""
-        entry = pa.list_(pa.struct([("id", pa.int64()), ("dist", pa.float64())]))
+    def _each(self, queries: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]], list[pa.Array]], columns: list[str], schema: str) -> DataFrame:
+        """qid, shard and the columns that ``answer`` (query, ids, vectors, neighbour lists) gives for each query in each shard."""
         parts = None
         for qids, q in _blocks(queries):
             shared = self.shards.sparkSession.sparkContext.broadcast((qids, q))
@@ -118,18 +117,39 @@ class Graph:
                         x = get("vecs").reshape(len(ids), -1)
                         nbrs = [flat[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
                         part = np.array_split(np.arange(len(qids)), b.column("parts")[row].as_py())[b.column("part")[row].as_py()]
-                        named = lambda es: [{"id": int(ids[n]), "dist": d} for n, d in es]  # noqa: E731, B023
                         for k in part:
-                            w = beam_search(q[k], x, nbrs, 0, width, limit)
-                            steps = [{"expanded": int(ids[e]), "beam": ids[s].tolist()} for e, s in w.steps]
-                            yield pa.RecordBatch.from_arrays([pa.array([qids[k]]), b.column("shard").slice(row, 1), pa.array([named(w.beam)], entry), pa.array([named(w.visited)], entry), pa.array([steps], pa.list_(pa.struct([("expanded", pa.int64()), ("beam", pa.list_(pa.int64()))]))), pa.array([w.compared])], ["qid", "shard", "beam", "visited", "steps", "compared"])
+                            yield pa.RecordBatch.from_arrays([pa.array([qids[k]]), b.column("shard").slice(row, 1), *answer(q[k], ids, x, nbrs)], ["qid", "shard", *columns])
 
             n = self.shards.sparkSession.sparkContext.defaultParallelism
             dealt = self.shards.withColumn("parts", F.lit(n)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).repartition(n, "shard", "part")
-            part = dealt.mapInArrow(run, "qid long, shard long, beam array<struct<id:long,dist:double>>, visited array<struct<id:long,dist:double>>, steps array<struct<expanded:long,beam:array<long>>>, compared long")
+            part = dealt.mapInArrow(run, f"qid long, shard long, {schema}")
             parts = part if parts is None else parts.unionByName(part)
         return parts
 
+    def walks(self, queries: DataFrame, width: int, limit: int | None = None) -> DataFrame:
+        """qid, shard, beam and visited (lists of id and dist), steps (expanded, beam) and compared."""
+        entry = pa.list_(pa.struct([("id", pa.int64()), ("dist", pa.float64())]))
+        step = pa.list_(pa.struct([("expanded", pa.int64()), ("beam", pa.list_(pa.int64()))]))
+
+        def answer(q: np.ndarray, ids: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray]) -> list[pa.Array]:
+            w = beam_search(q, x, nbrs, 0, width, limit)
+            named = lambda es: [{"id": int(ids[n]), "dist": d} for n, d in es]
+            steps = [{"expanded": int(ids[e]), "beam": ids[s].tolist()} for e, s in w.steps]
+            return [pa.array([named(w.beam)], entry), pa.array([named(w.visited)], entry), pa.array([steps], step), pa.array([w.compared])]
+
+        return self._each(queries, answer, ["beam", "visited", "steps", "compared"], "beam array<struct<id:long,dist:double>>, visited array<struct<id:long,dist:double>>, steps array<struct<expanded:long,beam:array<long>>>, compared long")
+
+    def greedy(self, queries: DataFrame, most: int = 20, near: float = 0.01) -> DataFrame:
+        """qid, shard, step, id and dist of a greedy walk in each shard."""
+        entry = pa.list_(pa.struct([("id", pa.int64()), ("dist", pa.float64())]))
+
+        def answer(q: np.ndarray, ids: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray]) -> list[pa.Array]:
+            path = greedy_walk(q, x, nbrs, 0, most, near)
+            return [pa.array([[{"id": int(ids[n]), "dist": float(d)} for n, d in zip(path, exact(x[path], q), strict=True)]], entry)]
+
+        walks = self._each(queries, answer, ["path"], "path array<struct<id:long,dist:double>>")
+        return walks.select("qid", "shard", F.posexplode("path").alias("step", "e")).select("qid", "shard", "step", F.col("e.id").alias("id"), F.col("e.dist").alias("dist"))
+
     def search(self, queries: DataFrame, k: int, width: int = 10, limit: int | None = None, among: str = "beam") -> DataFrame:
         """qid, rank, nbr and dist of the k nearest that the searches of all shards found."""
         hits = self.walks(queries, width, limit).select("qid", F.explode(among).alias("e")).select("qid", F.col("e.id").alias("nbr"), F.col("e.dist").alias("dist")).distinct()

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import curves
@@ -109,12 +109,57 @@ def _compact_search(s: SparkSession, d: str) -> DataFrame:
     return more.select("qid", F.col("id").alias("nbr"), V.euclidean(F.col("qvec"), F.col("vec")).alias("dist"))
 
 
+def _compact_found(s: SparkSession, d: str, among: str) -> DataFrame:
+    """The K nearest among what a search of the compacted graph saw, with or without the posting lists."""
+    e, lists = _compact(s, d)
+    adj = cliques.compacted(e, lists).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("nbrs"))
+    hits = search.from_adjacency(vectors(s, d), adj).walks(asked(s, d), 40).select("qid", F.explode("visited" if among == "visited" else "beam").alias("e")).select("qid", F.col("e.id").alias("nbr"))
+    ids = hits.select("qid", F.col("nbr").alias("id")) if among == "primary" else cliques.expanded(hits, lists)
+    rows = ids.join(vectors(s, d), "id").join(asked(s, d), "qid")
+    near = rows.select("qid", F.col("id").alias("nbr"), V.euclidean(F.col("qvec"), F.col("vec")).alias("dist"))
+    order = Window.partitionBy("qid").orderBy("dist", "nbr")
+    return near.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < K).select("qid", "rank", "nbr", "dist")
+
+
+def _compact_exhaustive(s: SparkSession, d: str, secondary: bool) -> DataFrame:
+    """The K nearest among all secondary points, or among all primary ones: those that keep edges."""
+    e, lists = _compact(s, d)
+    ids = lists.select(F.col("member").alias("id")) if secondary else cliques.compacted(e, lists).select(F.col("src").alias("id")).distinct()
+    return knn.knn(asked(s, d), vectors(s, d).join(ids, "id", "left_semi"), K)
+
+
+def _visited_recall(s: SparkSession, d: str) -> DataFrame:
+    """Of the K nearest rows, the share that a beam search visits."""
+    seen = _knn_graph(s, d).walks(asked(s, d), 20).select("qid", F.explode("visited.id").alias("nbr"))
+    truth = knn.knn(asked(s, d), vectors(s, d), K).select("qid", "nbr")
+    hit = truth.join(seen.withColumn("hit", F.lit(1)), ["qid", "nbr"], "left").groupBy("qid")
+    return hit.agg((F.count("hit") / F.lit(K)).alias("recall"))
+
+
+def _corners(s: SparkSession, d: str) -> DataFrame:
+    """The parts farthest towards either corner off the diagonal, by scaled size and price."""
+    part = s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_retailprice")
+    ends = part.agg(*[f(c).alias(f"{n}_{c}") for c in ("p_size", "p_retailprice") for n, f in (("lo", F.min), ("hi", F.max))])
+    scaled = lambda c: (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}"))
+    off = part.crossJoin(F.broadcast(ends)).select((-F.col("p_partkey")).alias("key"), (scaled("p_retailprice") - scaled("p_size")).alias("off"))
+    return off.agg((-F.max_by("key", F.struct("off", "key"))).alias("upper"), (-F.max_by("key", F.struct(-F.col("off"), "key"))).alias("lower"))
+
+
+def _named(c: DataFrame) -> DataFrame:
+    return c.select(F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
 def _hilbert(s: SparkSession, d: str) -> DataFrame:
     part = s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_size", "p_retailprice")
     g = curves.on_grid(part, "p_size", "p_retailprice", 10)
     return g.select("p_partkey", F.col("gx").alias("gx"), F.col("gy").alias("gy"), curves.hilbert(F.col("gx"), F.col("gy"), 10).alias("place"))
 
 
+def _both(edges: DataFrame) -> DataFrame:
+    """Every edge in both directions."""
+    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     e = neighbour_edges
     flat = lambda df: df.select("src", "pos", "dst", "d")
@@ -149,13 +194,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "global_local_prune": lambda s, d: prune.global_local(vectors(s, d), prune.robust_prune),
         "robust_prune": lambda s, d: prune.pruned(e(s, d), vectors(s, d), 1.01, 4).select("src", F.posexplode("nbrs").alias("pos", "dst")),
         "beam_search": lambda s, d: _knn_graph(s, d).search(asked(s, d), K, 20),
-        "beam_search_trace": lambda s, d: _knn_graph(s, d).walks(asked(s, d), 10).select("qid", F.posexplode("steps").alias("step", "s")).select("qid", "step", "s.expanded", "s.beam"),
+        "beam_search_trace": lambda s, d: _knn_graph(s, d).walks(asked(s, d), 10).select("qid", F.posexplode("steps").alias("step", "s")).select("qid", "step", "s.expanded", F.array_join(F.transform("s.beam", lambda x: x.cast("string")), ",").alias("beam")),
         "vamana_search": lambda s, d: search.build_vamana(vectors(s, d), beam=40).search(asked(s, d), K, 40),
-        "mutual_cliques": lambda s, d: cliques.maximal(_nodes(s, d), e(s, d)),
+        "mutual_cliques": lambda s, d: _named(cliques.maximal(_nodes(s, d), e(s, d))),
+        "maximal_cliques": lambda s, d: _named(cliques.maximal(_nodes(s, d), _both(e(s, d)))),
+        "clique_sizes": lambda s, d: cliques.sizes(cliques.maximal(_nodes(s, d), e(s, d))),
+        "clique_faults": lambda s, d: cliques.invalid(cliques.maximal(_nodes(s, d), e(s, d)), e(s, d)),
         "disjoint_cliques": lambda s, d: cliques.disjoint(cliques.maximal(_nodes(s, d), e(s, d))),
         "clique_summary": lambda s, d: cliques.summary(cliques.maximal(_nodes(s, d), e(s, d))),
         "compact_remap": lambda s, d: cliques.compacted(*_compact(s, d)),
         "compact_search": _compact_search,
+        "compact_search_expanded": lambda s, d: _compact_found(s, d, "beam"),
+        "compact_search_visited": lambda s, d: _compact_found(s, d, "visited"),
+        "compact_search_primary": lambda s, d: _compact_found(s, d, "primary"),
+        "compact_exhaustive_primary": lambda s, d: _compact_exhaustive(s, d, False),
+        "compact_exhaustive_secondary": lambda s, d: _compact_exhaustive(s, d, True),
+        "compact_remap_pruned": lambda s, d: cliques.compacted_pruned(*_compact(s, d), vectors(s, d)),
+        "corner_points": _corners,
+        "distance_matrix": lambda s, d: knn.within(vectors(s, d), float("inf")),
+        "nearest_edges": lambda s, d: graphs.nearest_linked(graphs.shortest(e(s, d), 3), e(s, d).where("pos = 0")),
+        "alpha_sets": lambda s, d: prune.alpha_sets(e(s, d), vectors(s, d), 1.05),
+        "semi_greedy_prune": lambda s, d: prune.pruned(e(s, d), vectors(s, d), choose=prune.set_cover),
+        "incremental_greedy": lambda s, d: prune.pruned(e(s, d), vectors(s, d), choose=prune.voted),
+        "greedy_walk": lambda s, d: _knn_graph(s, d).greedy(asked(s, d)).select("qid", "step", "id", "dist"),
+        "visited_recall": _visited_recall,
         "pareto_front": lambda s, d: curves.pareto(s.read.parquet(f"{d}/part.parquet"), "p_size", "p_retailprice", ("p_brand",)),
         "hilbert_order": _hilbert,
         "exact_duplicates": lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy("p_size", "p_retailprice").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1"),
@@ -226,6 +288,43 @@ def _hilbert_sql(order: int) -> str:
     return steps
 
 
+def _cliques(links: str) -> str:
+    """Common table expressions ending in x (members): maximal cliques of the symmetric relation named, grown by larger members."""
+    return f"""near AS (SELECT v.id, list(l.dst) FILTER (l.dst IS NOT NULL) AS ns FROM v LEFT JOIN {links} l ON l.src = v.id GROUP BY v.id),
+    r AS (SELECT [id] AS members, id AS top, coalesce(ns, []) AS common FROM near UNION ALL
+    SELECT list_append(r.members, n.id), n.id, list_intersect(r.common, n.ns) FROM r JOIN near n ON list_contains(r.common, n.id) AND n.id > r.top),
+    x AS (SELECT members FROM r WHERE len(common) = 0)"""
+
+
+_ADJ = f"a AS (SELECT src, list(dst ORDER BY pos) AS nbrs FROM e GROUP BY src), dl AS (SELECT q.qid, list({_l2('q.qvec', 'v.vec')} ORDER BY v.id) AS ds FROM q, v GROUP BY q.qid)"
+
+
+def _beam(width: int) -> str:
+    """Common table expressions ending in w (qid, step, expanded, beam, visited): a beam search from row 0, one row a step; ids have no gaps."""
+    return f"""WITH RECURSIVE {_V}, {_Q}, {_EDGES}, {_ADJ},
+    w AS (SELECT qid, -1 AS step, NULL::BIGINT AS expanded, [{{'d': ds[1], 'id': 0::BIGINT}}] AS beam, []::BIGINT[] AS visited, [0::BIGINT] AS seen, 0::BIGINT AS cur FROM dl UNION ALL
+    SELECT qid, step + 1, cur, beam, visited, seen, list_filter(beam, lambda z: NOT list_contains(visited, z.id))[1].id FROM (
+    SELECT qid, step, cur, list_sort(list_concat(beam, list_transform(new, lambda n: {{'d': ds[n + 1], 'id': n}})))[1:{width}] AS beam, list_append(visited, cur) AS visited, list_concat(seen, new) AS seen FROM (
+    SELECT w.*, dl.ds, list_filter(a.nbrs, lambda n: NOT list_contains(w.seen, n)) AS new FROM w JOIN a ON a.src = w.cur JOIN dl ON dl.qid = w.qid WHERE w.cur IS NOT NULL)))"""
+
+
+def _prune_sql(alpha: float, bound: int) -> str:
+    """Robust pruning as a fold over each centre's candidates by distance: one is dropped where a kept one dominates it."""
+    return f"""WITH RECURSIVE {_V}, {_EDGES}, o AS (SELECT x.src, x.pos, x.dst, coalesce(list(y.pos) FILTER (y.pos IS NOT NULL AND {alpha} * {_l2('y.vec', 'x.vec')} < x.d), []) AS dom
+    FROM (SELECT e.*, v.vec FROM e JOIN v ON v.id = e.dst) x LEFT JOIN (SELECT e.*, v.vec FROM e JOIN v ON v.id = e.dst) y ON y.src = x.src AND y.pos < x.pos GROUP BY x.src, x.pos, x.dst),
+    f AS (SELECT DISTINCT src, -1 AS n, []::INT[] AS kept FROM e UNION ALL
+    SELECT f.src, f.n + 1, CASE WHEN len(f.kept) >= {bound} OR list_has_any(f.kept, o.dom) THEN f.kept ELSE list_append(f.kept, o.pos) END FROM f JOIN o ON o.src = f.src AND o.pos = f.n + 1),
+    k AS (SELECT src, unnest(kept) AS p, unnest(range(len(kept))) AS pos FROM f WHERE n = {DEGREE - 1})
+    SELECT k.src, k.pos::INT AS pos, o.dst FROM k JOIN o ON o.src = k.src AND o.pos = k.p"""
+
+
+_WALK = f"""WITH RECURSIVE {_V}, {_Q}, {_EDGES}, {_ADJ},
+    p AS (SELECT qid, 0 AS step, 0::BIGINT AS id, [0::BIGINT] AS path, ds FROM dl UNION ALL
+    SELECT qid, step + 1, n, list_append(path, n), ds FROM (SELECT p.qid, p.step, p.path, p.ds, list_sort(list_transform(a.nbrs, lambda z: {{'d': p.ds[z + 1], 'id': z}}))[1].id AS n
+    FROM p JOIN a ON a.src = p.id WHERE len(p.path) <= 20 AND p.ds[p.id + 1] >= 0.01) WHERE NOT list_contains(path, n))
+    SELECT qid, step, id, ds[id + 1] AS dist FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     every = "SELECT q.qid, q.qvec, v.id, v.vec FROM q, v"
     top = f"WITH {_V}, {_Q} "
@@ -251,6 +350,20 @@ def oracle_sql() -> dict[str, str]:
         "ivf_recall": f"{top[:-1]}, {probe}, f AS ({ivf_}), t AS ({_top(every, K)}), n AS (SELECT q.qid, (SELECT count(*) FROM f WHERE f.qid = q.qid) AS c FROM q) SELECT n.qid, CASE WHEN least(c, {K}) > 0 THEN (SELECT count(*) FROM f JOIN t ON t.qid = f.qid AND t.nbr = f.nbr WHERE f.qid = n.qid AND f.rank < c AND t.rank < c) / least(c, {K}) END AS recall FROM n",
         "kmt_search_beam": _tree(3),
         "kmt_search_path": _tree(1),
+        "robust_prune": _prune_sql(1.01, 4),
+        "beam_search": f"{_beam(20)} SELECT qid, (rn - 1)::INT AS rank, z.id AS nbr, z.d AS dist FROM (SELECT qid, unnest(beam) AS z, unnest(range(1, len(beam) + 1)) AS rn FROM w WHERE cur IS NULL) WHERE rn <= {K}",
+        "beam_search_trace": f"{_beam(10)} SELECT qid, step, expanded, array_to_string(list_transform(beam, lambda z: z.id), ',') AS beam FROM w WHERE step >= 0",
+        "visited_recall": f"{_beam(20)}, t AS ({_top(every, K)}) SELECT t.qid, count(*) FILTER (list_contains(w.visited, t.nbr)) / {K} AS recall FROM t JOIN w ON w.qid = t.qid WHERE w.cur IS NULL GROUP BY t.qid",
+        "greedy_walk": _WALK,
+        "mutual_cliques": f"WITH RECURSIVE {_V}, {_EDGES}, {_MUTUAL}, {_cliques('m')} SELECT array_to_string(members, ',') AS members FROM x",
+        "maximal_cliques": f"WITH RECURSIVE {_V}, {_EDGES}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), {_cliques('u')} SELECT array_to_string(members, ',') AS members FROM x",
+        "clique_sizes": f"WITH RECURSIVE {_V}, {_EDGES}, {_MUTUAL}, {_cliques('m')} SELECT len(members)::INT AS size, count(*) AS n, len(members) * count(*) AS points FROM x GROUP BY len(members)",
+        "clique_summary": f"WITH RECURSIVE {_V}, {_EDGES}, {_MUTUAL}, {_cliques('m')}, b AS (SELECT members, len(members) AS s FROM x WHERE len(members) > 1) SELECT count(*) AS cliques, max(s)::INT AS largest, min(s)::INT AS smallest, round(avg(s), 2) AS mean, coalesce(sum(s - 1), 0)::BIGINT AS saved, (SELECT count(DISTINCT c) FROM (SELECT unnest(members) AS c FROM b)) AS covered FROM b",
+        "clique_faults": f"WITH RECURSIVE {_V}, {_EDGES}, {_MUTUAL}, {_cliques('m')}, y AS (SELECT members, unnest(members) AS a FROM x), z AS (SELECT members, a, unnest(members) AS b FROM y) SELECT members, a, b FROM z WHERE a < b AND NOT EXISTS (SELECT 1 FROM m WHERE m.src = a AND m.dst = b)",
+        "distance_matrix": f"WITH {_V} SELECT a.id AS i, b.id AS j, {_l2('a.vec', 'b.vec')} AS d FROM v a JOIN v b ON a.id < b.id",
+        "nearest_edges": f"{graph}, t AS (SELECT src, dst FROM e WHERE pos < 3) SELECT count(*) AS nodes, count(*) FILTER (EXISTS (SELECT 1 FROM t WHERE t.src = n.src AND t.dst = n.dst)) AS linked, count(*) FILTER (EXISTS (SELECT 1 FROM t WHERE t.src = n.dst AND t.dst = n.src)) AS linked_back FROM (SELECT src, dst FROM e WHERE pos = 0) n",
+        "alpha_sets": f"{graph} SELECT x.src, x.dst AS nbr, y.dst AS covered FROM e x JOIN e y ON x.src = y.src AND x.dst <> y.dst JOIN v vx ON vx.id = x.dst JOIN v vy ON vy.id = y.dst WHERE 1.05 * {_l2('vx.vec', 'vy.vec')} < y.d",
+        "corner_points": "WITH o AS (SELECT p_partkey, (p_retailprice - min(p_retailprice) OVER ()) / (max(p_retailprice) OVER () - min(p_retailprice) OVER ()) - (p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()) AS off FROM part) SELECT (SELECT p_partkey FROM o ORDER BY off DESC, p_partkey LIMIT 1) AS upper, (SELECT p_partkey FROM o ORDER BY off, p_partkey LIMIT 1) AS lower",
         "edge_filter_epsilon": f"{graph} SELECT * FROM e WHERE d <= 1.15",
         "edge_filter_percentile": f"{graph} SELECT * FROM e WHERE d <= (SELECT d FROM (SELECT d, row_number() OVER (ORDER BY d) AS rn FROM e) WHERE rn = (SELECT floor(0.75 * (count(*) - 1)) + 1 FROM e))",
         "edge_filter_shortest_k": f"{graph} SELECT src, (rn - 1)::INT AS pos, dst, d FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, pos) AS rn FROM e) WHERE rn <= 3",

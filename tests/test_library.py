@@ -311,3 +311,31 @@ def test_against_sql(spark, name):
     assert cols == sorted(want.columns)
     rows = lambda d: sorted(map(str, d[cols].astype(object).where(d[cols].notna(), None).values.tolist()))
     assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.queries().keys() - catalog.oracle_sql().keys()))
+def test_queries_without_sql_have_rows(spark, name):
+    df = catalog.queries()[name](spark, SF)
+    assert df.count() > 0
+    assert len(set(df.columns)) == len(df.columns)
+
+
+def test_chosen_pruning_covers_every_candidate(spark):
+    """Every candidate of a centre is kept or nearer to a kept one than to the centre."""
+    e, v = catalog.neighbour_edges(spark, SF), catalog.vectors(spark, SF)
+    x = {r["id"]: np.array(r["vec"], float) for r in v.collect()}
+    near = {}
+    for r in e.collect():
+        near.setdefault(r["src"], []).append(r["dst"])
+    far = lambda a, b: float(V.pair_distances("euclidean", x[a][None], x[b][None])[0])
+    for choose in (prune.set_cover, prune.voted):
+        kept = {r["src"]: r["nbrs"] for r in prune.pruned(e, v, choose=choose).collect()}
+        assert kept.keys() == near.keys()
+        for s, ds in near.items():
+            assert all(d in kept[s] or any(far(k, d) < far(s, d) for k in kept[s]) for d in ds)
+
+
+def test_greedy_walk_on_a_path(spark):
+    g = search.from_adjacency(vecs(spark, [(0,), (1,), (2,), (3,)]), graphs.adjacency(spark.range(4), links(spark, [[1], [0, 2], [1, 3], [2]])))
+    rows = g.greedy(asks(spark, [(3,)])).orderBy("step").collect()
+    assert [(r["id"], r["dist"]) for r in rows] == [(0, 3.0), (1, 2.0), (2, 1.0), (3, 0.0)]
