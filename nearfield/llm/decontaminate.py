@@ -290,10 +290,16 @@ def decontaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Dat
     return every.drop("key").mapInArrow(_sums, _SUMMARY.format(id=every.schema["doc_id"].dataType.simpleString()))
 
 
-def kept(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with all its columns, without the contaminated ones."""
-    bad = decontaminated(docs, items, width).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+def kept(docs: DataFrame, items: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, without the contaminated ones.
+
+    The verdict is of a row, not of its id: rows are told apart by id and text,
+    so that null or repeated ids take no clean row along.
+    """
+    key = F.xxhash64(docs[id_col], text_of(docs, text_col))
+    keyed = docs.select(key.alias("doc_id"), text_of(docs, text_col).alias("text"))
+    bad = decontaminated(keyed, items, width).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, key == F.col("_bad"), "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

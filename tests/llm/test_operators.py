@@ -109,6 +109,19 @@ def test_contamination_in_rounds(spark, small, monkeypatch):
     same(decontaminate.decontaminated(df, items), list(brute.contamination(rows, [(r["item_id"], r["text"]) for r in items.collect()])))
 
 
+def test_kept_decides_by_row(spark, odd):
+    df, rows = odd
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    passage = items.where(F.length("text") > 100).first()["text"]
+    more = [(None, passage), (None, "clean one"), (None, None), (None, passage), (7, passage), (7, "clean two"), (7, None), (1, passage)]
+    docs = df.unionByName(spark.createDataFrame([(i, t, *[None] * 8) for i, t in more], SCHEMA))
+    rows = rows + more
+    want = [r for r, (*_, bad) in zip(rows, brute.contamination(rows, [(r["item_id"], r["text"]) for r in items.collect()]), strict=True) if not bad]
+    out = decontaminate.kept(docs, items)
+    assert out.columns == docs.columns and len(want) < len(rows)
+    same(out.select("doc_id", "text"), want)
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "one two three four five six one seven two"), (2, "two"), (3, "one"), (4, "two x one")], "doc_id long, text string")
     row = decontaminate.index(df.coalesce(1)).first().asDict()
