@@ -6,8 +6,9 @@ random-looking value of one owner is live-looking.  Values themselves never
 leave their row: only hashes are shuffled, aggregated to one row per owner
 before owners are counted.
 
-Edge cases: a null text counts as empty, and an empty one has no spans; a null
-repository or owner is one of its own; a null id stays null; repeated rows
+Edge cases: a null text counts as empty, and an empty one has no spans; a private
+key without its last line ends where the key's lines end, and one without a body
+is a stand-in; a null repository or owner is one of its own; a null id stays null; repeated rows
 give repeated rows, and count once as a repository; other columns are ignored,
 whatever their names; an empty table gives an empty result.
 """
@@ -22,13 +23,17 @@ from .spans import Kind, all_spans, by_start, counted, joined, masked, with_span
 
 _ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*+[:=]\x20*+[\"']?"
 
+_BEGIN, _END = (rf"-----{w} [A-Z ]{{0,40}}PRIVATE KEY-----" for w in ("BEGIN", "END"))
+#: What follows a private key's first line where its last one is missing: lines of the key's characters, long runs of them, header lines, and what the text ends within.
+_OPEN = r"(?:(?:\s|\\[nr])*+(?:[A-Za-z0-9+/=]{20,}+|(?:Proc-Type|DEK-Info):[^\r\n]*+)|[\x20\t]*+[\r\n]\s*+[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n]|\z)))*+(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]++\s*+\z)?+"
+
 BASE = (
     Kind("assign", _ASSIGN + r"[A-Za-z0-9+/_.=-]++", lambda m: F.length(_value(m)) >= 6, may=lambda t: t.rlike("(?i)passw|secret|token|api_?key")),
     Kind("access", r"AKIA[A-Z0-9]++", lambda m: F.length(m) >= 20, may=lambda t: t.contains("AKIA")),
     Kind("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+", may=lambda t: t.rlike("[0-9a-f]{24}")),
 )
 FURTHER = (
-    Kind("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", may=lambda t: t.contains("PRIVATE KEY")),
+    Kind("pem", _BEGIN + r"(?:[^-]*+(?:-(?!----(?:BEGIN|END)\x20)[^-]*+)*+" + _END + "|" + _OPEN + ")", may=lambda t: t.contains("PRIVATE KEY")),
     Kind("signed", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", may=lambda t: t.contains("eyJ")),
 )
 KINDS = BASE + FURTHER
@@ -38,14 +43,26 @@ EXAMPLE_OWNERS = 3
 #: Distinct characters that a live-looking value has at least.
 LEAST_CHARS = 6
 #: Values that stand for others.
-STANDINS = r"(?i)example|changeme|your[-_]|placeholder|xxxx|dummy|^(.)\1*$"
+STANDINS = r"(?i)example|changeme|your[-_]|placeholder|xxxx|dummy|^(.)\1*$|^-----BEGIN$"
+#: Characters from which on a private key holds the words of ``STANDINS`` by chance only.
+KEY_CHARS = 64
 
 
 def _value(match: Column) -> Column:
-    """What an assignment assigns; other matches are values as they are."""
+    """What an assignment assigns."""
     return F.regexp_replace(match, "^" + _ASSIGN, "")
 
 
+def _body(match: Column) -> Column:
+    """A private key between its first and last line, however its lines are broken."""
+    return F.regexp_replace(match, rf"{_BEGIN}|{_END}|\s|\\[nr]", "")
+
+
+def _secret(span: Column) -> Column:
+    """The value that counts: of an assignment what it assigns, of a private key its body, of other kinds the match."""
+    return F.when(span["kind"] == "assign", _value(span["value"])).when(span["kind"] == "pem", _body(span["value"])).otherwise(span["value"])
+
+
 def found(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, ``_text``, ``_repo``, ``_owner`` and ``spans`` by start; no shuffle."""
     df = docs.select(*[docs[c] for c in keep], text_of(docs, text_col).alias("_text"), docs[repo_col].cast("string").alias("_repo"), docs[owner_col].cast("string").alias("_owner"))
@@ -55,7 +72,7 @@ def found(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source",
 
 
 def _hash(span: Column) -> Column:
-    return F.unhex(F.sha2(F.when(span["kind"] == "assign", _value(span["value"])).otherwise(span["value"]), 256))
+    return F.unhex(F.sha2(_secret(span), 256))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -74,11 +91,12 @@ def classified(rows: DataFrame) -> DataFrame:
     """One row a span (``key``, ``span``, ``repo``, ``owner``), with ``hash``, ``n_repos``, ``n_owners`` and ``verdict``: example, standin, live or unsure."""
     flat = rows.withColumn("hash", _hash(F.col("span")))
     known = ownership(flat.select("hash", "repo", "owner"))
-    value = F.when(F.col("span.kind") == "assign", _value(F.col("span.value"))).otherwise(F.col("span.value"))
+    value = _secret(F.col("span"))
+    named = value.rlike(STANDINS) & ((F.col("span.kind") != "pem") | (F.length(value) < KEY_CHARS))
     varied = F.size(F.array_distinct(F.split(value, ""))) >= LEAST_CHARS
     verdict = (
         F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example")
-        .when(value.rlike(STANDINS) | ~varied, "standin")
+        .when(named | ~varied, "standin")
         .when(F.col("n_owners") == 1, "live")
         .otherwise("unsure")
     )

@@ -93,6 +93,28 @@ def test_ownership_tells_examples_from_live_values(spark):
     assert texts[90] == "key [HEX]" and texts[0] == f"hex {copied}"
 
 
+def test_private_keys_are_whole_blocks(spark):
+    rng = random.Random(8)
+    key = lambda n=300: "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=n))
+    lines = lambda body, by="\n": by.join(body[k : k + 64] for k in range(0, len(body), 64))
+    block = lambda body, by="\n": f"-----BEGIN RSA PRIVATE KEY-----{by}{lines(body, by)}{by}-----END RSA PRIVATE KEY-----"
+    copied, own = key(), key()
+    rows = [(k, f"a {block(key())} b", f"owner{k}") for k in range(4)]
+    rows += [(10 + k, f"a {block(copied, by)} b", f"owner{k}") for k, by in enumerate(["\n", "\\n", "\r\n", " "])]
+    rows += [(20, f"secret: {block(own)}\nthen {block(key())} b", "one"), (21, "a -----BEGIN RSA PRIVATE KEY-----\n" + lines(key(290)), "one")]
+    rows += [(22, f"a -----BEGIN RSA PRIVATE KEY-----\n{lines(key(290))}\nmore words follow", "one"), (23, "the line -----BEGIN RSA PRIVATE KEY----- opens it, and prose goes on", "one")]
+    rows += [(24, f"a -----BEGIN PRIVATE KEY-----\n{lines(key())}\n{block(key())} b", "one"), (25, "a " + block(key(200) + "xxXX" + key(90)) + " b", "one"), (26, "a " + block("yourExampleKey") + " b", "one")]
+    rows += [(27, "a -----BEGIN PRIVATE KEY-----" + "\n-x" * 200_000, "one"), (28, "a -----BEGIN PRIVATE KEY-----" + "\nAb3/" * 200_000, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert all(texts[k] == "a [PEM] b" for k in (0, 1, 2, 3, 25))
+    assert all(texts[i] == t for i, t, _ in rows if 10 <= i < 20 or i in (23, 26, 27))
+    assert texts[20] == "secret: [PEM]\nthen [PEM] b" and texts[24] == "a [PEM]\n[PEM] b" and texts[21] == "a [PEM]"
+    assert texts[22] == "a [PEM]\nmore words follow"
+    got = {r["doc_id"]: (r["n_live"], r["n_example"], r["n_standin"], r["most_owners"]) for r in secrets.scanned(df).collect()}
+    assert got[0] == (1, 0, 0, 1) and got[10] == got[13] == (0, 1, 0, 4) and got[20] == (2, 0, 1, 1) and got[23] == (0, 0, 1, 1)
+
+
 def test_contamination(spark, case):
     df, rows = case
     items = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
