@@ -4,7 +4,8 @@ Everything is DataFrame functions; no shuffle.  Every kind has a prior, a
 validator raises it, words of the kind near the span raise it, and words that
 mark examples lower it.  The base kinds (email, ip, card, phone) are always
 reported; the further kinds (iban, by mod-97, and national, by its form) only
-from ``THRESHOLD`` on.
+from ``THRESHOLD`` on.  An account number has the length of its country, so
+that words and numbers after it stay outside.
 
 Edge cases: a null text counts as empty, and an empty one has no spans; a null
 id stays null; repeated rows give repeated rows; other columns are ignored,
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hex_sha, load, text_of
-from .spans import Kind, all_spans, counted, joined, masked, with_spans
+from .spans import SPANS, Kind, all_spans, counted, joined, masked, with_spans
 
 _LOCAL = "A-Za-z0-9._%+-"
 _DIGITS = r"[0-9]"
@@ -46,6 +47,45 @@ def _mod97(m: Column) -> Column:
     return F.length(s).between(15, 34) & (rest == 1)
 
 
+#: Countries by the characters of their account numbers: the registry's, and those that use the form without being in it.
+_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FK FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST",
+    26: "IR IS TR DZ",
+    27: "BI CF CG CM DJ FR GR IT KM MC MG SM TD GA GQ",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
+#: An account number at the start of a text, of its country's length; no others are issued.
+_ACCOUNT = (
+    "^(?:"
+    + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in _LENGTHS.items())
+    + ")(?![A-Za-z0-9])"
+)
+#: Code points that an account number, its single spaces and the character after it take at most.
+_ACCOUNT_CHARS = 68
+
+
+def _accounts(text: Column, heads: Column) -> Column:
+    """The account numbers that hold among those that begin at the heads; of overlapping ones the first."""
+    value = lambda s: F.regexp_extract(F.substring(text, s["start"] + 1, F.lit(_ACCOUNT_CHARS)), _ACCOUNT, 0)
+    whole = F.transform(heads, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), value(s).alias("value")))
+    sure = F.transform(F.filter(whole, lambda s: _mod97(s["value"])), lambda s: F.struct(s["kind"], s["start"], (s["start"] + F.length(s["value"])).alias("stop"), s["value"])).cast(SPANS)
+    return F.aggregate(sure, F.array().cast(SPANS), lambda a, s: F.when(F.get(a, F.size(a) - 1)["stop"] > s["start"], a).otherwise(F.concat(a, F.array(s))))
+
+
 #: A match begins where a run of local characters begins or where the last match ended, which keeps long runs linear.
 BASE = (
     Kind("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", may=lambda t: t.contains("@")),
@@ -54,7 +94,7 @@ BASE = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), may=lambda t: t.contains("+")),
 )
 FURTHER = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", _mod97, may=lambda t: t.rlike("[A-Z]{2}[0-9]{2}")),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})", may=lambda t: t.rlike("[A-Z]{2}[0-9]{2}")),
     Kind("national", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike(r"^(?:000|666|9)|-00-|-0000$"), may=lambda t: t.rlike("[0-9]{3}-[0-9]{2}-")),
 )
 KINDS = BASE + FURTHER
@@ -91,6 +131,7 @@ def found(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
     """The kept columns, ``_text``, ``spans`` (by kind, then start) and ``scores`` in the same order."""
     df = docs.select(*[docs[c] for c in keep], text_of(docs, text_col).alias("_text"))
     df = with_spans(df, KINDS)
+    df = df.withColumn("_iban", F.when(F.col("_iban").isNotNull(), _accounts(F.col("_text"), F.col("_iban"))))
     rows = all_spans(*[F.col(f"_{k.name}") for k in KINDS])
     scored = F.transform(rows, lambda s: F.struct(s.alias("span"), _score(F.col("_text"), s).alias("score")))
     df = df.select(*keep, "_text", scored.alias("_scored"))

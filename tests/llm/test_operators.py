@@ -76,6 +76,19 @@ def test_pii_further_kinds(spark):
     assert pii.redacted(df).where("doc_id = 0").first()["text"] == "IBAN [IBAN] there"
 
 
+@pytest.mark.parametrize("number", ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"])
+def test_account_numbers_end_with_themselves(spark, number):
+    after = [" The account", " AND more", " BIC X", " 1234", " 1", " A", "", ".", "\nTHE", " there", " GB82WEST12345698765432"]
+    before = ["", "IBAN ", "ROOM AB12 CDE ", "FR12 ABCD ", "ZZ12 ABCD ", "é🙂 "]
+    texts = [(b, b + number + a) for b in before for a in after]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["stop"], s["value"]) for s in r["spans"] if s["kind"] == "iban"] for r in pii.found(df).collect()}
+    for k, (b, t) in enumerate(texts):
+        assert got[k][0] == (len(b), len(b) + len(number), number) and len(got[k]) == 1 + (t[len(b) + len(number) :] == " GB82WEST12345698765432"), t
+    longer = spark.createDataFrame([(0, number + "0"), (1, number + "x"), (2, "x" + number), (3, number[:-1])], "doc_id long, text string")
+    assert not [s for r in pii.found(longer).collect() for s in r["spans"] if s["kind"] == "iban"]
+
+
 def test_secrets(case):
     df, rows = case
     names = [k.name for k in secrets.BASE]
