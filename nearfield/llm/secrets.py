@@ -1,8 +1,8 @@
 """Secrets, with the ownership of every candidate over the whole corpus.
 
 Patterns find candidates; the hash of each candidate is counted over distinct
-repositories and owners.  A value that many owners hold is a copied example; a
-random-looking value of one owner is live-looking.  Values themselves never
+repositories and owners.  A value that many owners or many repositories hold is
+a copied example; a random-looking value of one owner is live-looking.  Values themselves never
 leave their row: only hashes are shuffled, aggregated to one row per owner
 before owners are counted.
 
@@ -40,6 +40,8 @@ KINDS = BASE + FURTHER
 ORDER = tuple(k.name for k in KINDS)
 #: A value that this many owners hold is a copied example.
 EXAMPLE_OWNERS = 3
+#: So is a value in this many repositories, however few owners they have.
+EXAMPLE_REPOS = 10
 #: Distinct characters that a live-looking value has at least.
 LEAST_CHARS = 6
 #: Values that stand for others.
@@ -95,7 +97,7 @@ def classified(rows: DataFrame) -> DataFrame:
     named = value.rlike(STANDINS) & ((F.col("span.kind") != "pem") | (F.length(value) < KEY_CHARS))
     varied = F.size(F.array_distinct(F.split(value, ""))) >= LEAST_CHARS
     verdict = (
-        F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example")
+        F.when((F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repos") >= EXAMPLE_REPOS), "example")
         .when(named | ~varied, "standin")
         .when(F.col("n_owners") == 1, "live")
         .otherwise("unsure")
@@ -104,13 +106,13 @@ def classified(rows: DataFrame) -> DataFrame:
 
 
 def scanned(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, ``spans`` by start, and counts of spans by verdict: n_live, n_example, n_standin, n_unsure."""
+    """doc_id, ``spans`` by start, and counts of spans by verdict: n_live, n_example, n_standin, n_unsure; most_owners and most_repos of one span."""
     rows = found(docs, repo_col, owner_col, text_col, (id_col,)).drop("_text").withColumnRenamed(id_col, "doc_id")
     rows = written(rows.withColumn("key", F.monotonically_increasing_id()), "secrets")
     flat = rows.select("key", F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), F.explode("spans").alias("span"))
-    per = classified(flat).groupBy("key").agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("live", "example", "standin", "unsure")], F.max("n_owners").alias("most_owners"))
+    per = classified(flat).groupBy("key").agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("live", "example", "standin", "unsure")], F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"))
     out = rows.join(per, "key", "left").drop("key", "_repo", "_owner")
-    return out.na.fill(0, ["n_live", "n_example", "n_standin", "n_unsure", "most_owners"])
+    return out.na.fill(0, ["n_live", "n_example", "n_standin", "n_unsure", "most_owners", "most_repos"])
 
 
 def redacted(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -149,4 +151,5 @@ def op2_secrets(spark, sf_dir: str) -> DataFrame:
         "n_standin",
         "n_unsure",
         "most_owners",
+        "most_repos",
     )

@@ -106,6 +106,15 @@ def test_ownership_tells_examples_from_live_values(spark):
     assert texts[90] == "key [HEX]" and texts[0] == f"hex {copied}"
 
 
+def test_widely_copied_values_are_examples_whoever_holds_them(spark):
+    few, many = "0123456789abcdef01234567", "fedcba9876543210fedcba98"
+    rows = [(k, f"hex {many}", "one") for k in range(40)] + [(k % 3, f"key {few}", "one") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {tuple(r) for r in secrets.scanned(df).select("n_live", "n_example", "most_owners", "most_repos").collect()}
+    assert got == {(0, 1, 1, 40), (1, 0, 1, 3)}
+    assert {r["text"] for r in secrets.redacted(df).collect()} == {f"hex {many}", "key [HEX]"}
+
+
 def test_private_keys_are_whole_blocks(spark):
     rng = random.Random(8)
     key = lambda n=300: "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=n))
