@@ -6,6 +6,7 @@ rows.  Fixed centroids are the first rows by id, so that SQL can name them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -20,6 +21,11 @@ K = 10
 CENTROIDS = 8
 DEGREE = 8
 RADIUS = 1.1
+#: Shares of a tree's leaves and of the trained lists that a search reads: as they grow with the table, recall holds.
+LEAF_SHARE = 0.65
+LIST_SHARE = 0.65
+#: Rows of a shard of the built graph; a search reads every shard, so that recall holds as their number grows.
+SHARD_ROWS = 500
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -71,6 +77,24 @@ def two_level_tree(s: SparkSession, d: str) -> tree.Tree:
     return tree.Tree(nodes, points, v)
 
 
+def _built_tree_search(s: SparkSession, d: str) -> DataFrame:
+    t = tree.build(vectors(s, d), 5, 60)
+    return t.search(asked(s, d), K, math.ceil(LEAF_SHARE * t.nodes.where("is_leaf").count()))
+
+
+def _built_ivf_search(s: SparkSession, d: str) -> DataFrame:
+    """Trained centroids, as many as the root of the number of rows."""
+    v = vectors(s, d)
+    lists = max(CENTROIDS, round(math.sqrt(v.count())))
+    return ivf.build(v, lists, 10).search(asked(s, d), K, math.ceil(LIST_SHARE * lists))
+
+
+def _vamana_search(s: SparkSession, d: str) -> DataFrame:
+    v = vectors(s, d)
+    g = search.build_vamana(v, bound=16, beam=60, shards=max(1, math.ceil(v.count() / SHARD_ROWS)))
+    return g.search(asked(s, d), K, 60)
+
+
 def _kmeans(s: SparkSession, d: str, rounds: int) -> DataFrame:
     c = clustering.kmeans(vectors(s, d), CENTROIDS, rounds, init=first_rows(s, d))
     rows = [(k, j, float(x)) for k, v in enumerate(c) for j, x in enumerate(v)]
@@ -183,7 +207,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ivf_recall": lambda s, d: _recall(ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2), knn.knn(asked(s, d), vectors(s, d), K)),
         "kmt_search_beam": lambda s, d: two_level_tree(s, d).search(asked(s, d), K, 3),
         "kmt_search_path": lambda s, d: two_level_tree(s, d).search(asked(s, d), K, 1),
-        "kmt_built_search": lambda s, d: tree.build(vectors(s, d), 5, 60).search(asked(s, d), K, 8),
+        "kmt_built_search": _built_tree_search,
+        "ivf_built_search": _built_ivf_search,
         "edge_filter_epsilon": lambda s, d: flat(graphs.shorter_than(e(s, d), 1.15)),
         "edge_filter_percentile": lambda s, d: flat(graphs.percentile(e(s, d), 75.0)),
         "edge_filter_shortest_k": lambda s, d: flat(graphs.shortest(e(s, d), 3)),
@@ -195,7 +220,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "robust_prune": lambda s, d: prune.pruned(e(s, d), vectors(s, d), 1.01, 4).select("src", F.posexplode("nbrs").alias("pos", "dst")),
         "beam_search": lambda s, d: _knn_graph(s, d).search(asked(s, d), K, 20),
         "beam_search_trace": lambda s, d: _knn_graph(s, d).walks(asked(s, d), 10).select("qid", F.posexplode("steps").alias("step", "s")).select("qid", "step", "s.expanded", F.array_join(F.transform("s.beam", lambda x: x.cast("string")), ",").alias("beam")),
-        "vamana_search": lambda s, d: search.build_vamana(vectors(s, d), beam=40).search(asked(s, d), K, 40),
+        "vamana_search": _vamana_search,
         "mutual_cliques": lambda s, d: _named(cliques.maximal(_nodes(s, d), e(s, d))),
         "maximal_cliques": lambda s, d: _named(cliques.maximal(_nodes(s, d), _both(e(s, d)))),
         "clique_sizes": lambda s, d: cliques.sizes(cliques.maximal(_nodes(s, d), e(s, d))),

@@ -339,3 +339,14 @@ def test_greedy_walk_on_a_path(spark):
     g = search.from_adjacency(vecs(spark, [(0,), (1,), (2,), (3,)]), graphs.adjacency(spark.range(4), links(spark, [[1], [0, 2], [1, 3], [2]])))
     rows = g.greedy(asks(spark, [(3,)])).orderBy("step").collect()
     assert [(r["id"], r["dist"]) for r in rows] == [(0, 3.0), (1, 2.0), (2, 1.0), (3, 0.0)]
+
+
+@pytest.mark.parametrize("name", ["kmt_built_search", "ivf_built_search", "vamana_search"])
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_of_built_indexes(spark, name, sf):
+    d = f"/root/testdata/{sf}"
+    truth = {(r["qid"], r["nbr"]) for r in catalog.queries()["knn_exact"](spark, d).collect()}
+    found = {(r["qid"], r["nbr"]) for r in catalog.queries()[name](spark, d).collect()}
+    recall = len(found & truth) / len(truth)
+    print(name, sf, round(recall, 4))
+    assert recall >= 0.9
