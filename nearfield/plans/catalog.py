@@ -195,6 +195,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "knn_inner_product": _knn("inner_product"),
         "knn_internal": lambda s, d: e(s, d),
         "knn_subset": lambda s, d: knn.knn(asked(s, d), knn.subset(vectors(s, d), vectors(s, d).where("id % 3 = 0").select((F.col("id") / 3).cast("long").alias("sub_id"), "id")), K),
+        "ground_truth": lambda s, d: knn.ground_truth(asked(s, d), vectors(s, d), K),
         "ground_truth_padded": lambda s, d: knn.ground_truth(asked(s, d), vectors(s, d).where(F.col("id") < 5), K),
         "closest_candidate": lambda s, d: knn.closest(asked(s, d), asked(s, d).select("qid", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("pos")).withColumn("id", F.col("pos").cast("long") * 7 + 1), vectors(s, d)),
         "distances_within": lambda s, d: knn.within(vectors(s, d), RADIUS),
@@ -363,6 +364,7 @@ def oracle_sql() -> dict[str, str]:
         **{n: top + _top(every, K, m) for n, m in (("knn_exact", "euclidean"), ("knn_squared", "squared_euclidean"), ("knn_cosine", "cosine"), ("knn_inner_product", "inner_product"))},
         "knn_internal": f"{graph} SELECT * FROM e",
         "knn_subset": top + _top("SELECT q.qid, q.qvec, v.id, v.vec FROM q, v WHERE v.id % 3 = 0", K),
+        "ground_truth": top + _top(every, K),
         "ground_truth_padded": f"WITH {_V}, {_Q}, t AS ({_top('SELECT q.qid, q.qvec, v.id, v.vec FROM q, v WHERE v.id < 5', K)}) SELECT q.qid, r::INT AS rank, coalesce(t.nbr, {knn.PAD_ID})::BIGINT AS nbr, coalesce(t.dist, {knn.PAD_DISTANCE!r}::DOUBLE) AS dist FROM q CROSS JOIN range({K}) x(r) LEFT JOIN t ON t.qid = q.qid AND t.rank = r",
         "closest_candidate": f"{top} SELECT qid, arg_min(pos, dist)::INT AS pos FROM (SELECT q.qid, r AS pos, {_l2('q.qvec', 'v.vec')} AS dist FROM q, range(10) x(r), v WHERE v.id = r * 7 + 1) GROUP BY qid",
         "distances_within": f"WITH {_V} SELECT * FROM (SELECT a.id AS i, b.id AS j, {_l2('a.vec', 'b.vec')} AS d FROM v a JOIN v b ON a.id < b.id) WHERE d < {RADIUS}",
