@@ -35,9 +35,25 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Sets a checkpoint folder of its own where the session names none, as in tests."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        folder = tempfile.mkdtemp(prefix="nearfield-")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
+
+    Where that is unset, a session on one machine, as in tests, gets a new
+    folder, removed at exit; a cluster must name one that all its machines see.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all machines of the cluster share")
+        top = tempfile.mkdtemp(prefix="nearfield-")
+        atexit.register(shutil.rmtree, top, ignore_errors=True)
+        folder = "file://" + top
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def ensure_checkpoints(spark: SparkSession) -> None:
+    """Sees to it that the session has a checkpoint folder."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
