@@ -4,8 +4,8 @@ Documents are packed into blocks of a few megabytes, one row each, written once
 in buckets of the block id.  A block asks about its windows, answers come back
 by block id, and joining them to the blocks shuffles only the answers.
 
-Texts that are whole copies of an earlier document's are found first, by their
-hashes alone; no window of theirs is sent anywhere.
+Texts that are whole copies of an earlier document's are found first, by 128 bits
+of a cryptographic hash; no window of theirs is sent anywhere.
 
 The prefilter: every block sends, to each of a number of shards, the sorted
 fingerprints of its windows there, a sparse sketch.  A shard merges all
@@ -26,34 +26,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import bucketed, text_of, written
+from .common import bucketed, shards_of, text_of, written
 
 #: Bytes of text in a block, but for a longer document, which is a block of its own.
 BLOCK_BYTES = 2 << 20
 #: Bits of a fingerprint within its shard, and of a counter's number.
 FINGER_BITS, CELL_BITS = 28, 25
+#: Buckets that a task's blocks lie in at most.
+FAN = 8
 _LAST = np.iinfo(np.int64).max
 
 
+def bucket_of(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that Spark puts each long in: Murmur3 with the seed 42, then the remainder."""
+    u = np.uint32
+
+    def turned(x: np.ndarray, r: int) -> np.ndarray:
+        return (x << u(r)) | (x >> u(32 - r))
+
+    halves = numbers.astype("<i8").view("<u4").reshape(-1, 2)
+    h = np.full(len(halves), 42, u)
+    for k in (0, 1):
+        h = turned(h ^ (turned(halves[:, k] * u(0xCC9E2D51), 15) * u(0x1B873593)), 13) * u(5) + u(0xE6546B64)
+    h ^= u(8)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).view(np.int32) % buckets
+
+
+def block_ids(task: int, buckets: int) -> Iterator[int]:
+    """Ids for a task's blocks, none another task's: they lie in at most ``FAN`` buckets, so that files grow with tasks and not with tasks times buckets."""
+    wanted = [(task * FAN + k) % buckets for k in range(FAN)]
+    found: dict[int, list[int]] = {b: [] for b in wanted}
+    low, turn = 0, 0
+    while True:
+        bucket = wanted[turn % FAN]
+        while not found[bucket]:
+            numbers = (task << 32) + np.arange(low, low + 4 * buckets, dtype=np.int64)
+            low += len(numbers)
+            at = bucket_of(numbers, buckets)
+            for b in found:
+                found[b] += numbers[at == b].tolist()
+        yield found[bucket].pop(0)
+        turn += 1
+
+
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks: blk, and lists of doc_id, text, null as empty, and two hashes of it."""
-    df = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    """Blocks: blk, and lists of doc_id, text, null as empty, and two halves of its digest.  Ids that are no longs are cast, and null where that fails."""
+    df = docs.select(docs[id_col].try_cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    buckets = shards_of(df)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
+        numbers = block_ids(TaskContext.get().partitionId(), buckets)
         for b in batches:
             for first, end, raw, off in tk.chunks(b.column(1), BLOCK_BYTES):
-                columns = [*b.slice(first, end - first).columns, *[pa.array(h.view(np.int64)) for h in two_hashes(raw, off[:-1], off[1:])]]
+                data = memoryview(raw)
+                halves = tk.digests(data[i:j] for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+                columns = [*b.slice(first, end - first).columns, *[pa.array(halves[:, k]) for k in (0, 1)]]
                 lists = [pa.ListArray.from_arrays(pa.array([0, end - first], pa.int32()), c) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), *lists], ["blk", "doc_id", "text", "one", "two"])
-                n += 1
+                yield pa.RecordBatch.from_arrays([pa.array([next(numbers)], pa.int64()), *lists], ["blk", "doc_id", "text", "one", "two"])
 
     return bucketed(df.mapInArrow(run, "blk long, doc_id array<long>, text array<string>, one array<long>, two array<long>"), "blk", "blocks")
 
 
 def two_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of byte runs."""
-    return tk.word_hashes(raw, begin, end), tk.word_hashes(255 - raw, begin, end)
+    return tk.word_hashes(raw, begin, end), tk.word_hashes(raw, begin, end, 1)
 
 
 def same(one: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -188,7 +226,7 @@ def with_copies(blocks: DataFrame) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
-                one, two = (sent_hash(b.column(c)[row].values.to_numpy(zero_copy_only=False).view(np.uint64)) for c in ("one", "two"))
+                one, two = (b.column(c)[row].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in ("one", "two"))
                 order = _order(b.column("doc_id")[row].values)
                 first = first_of(order, np.zeros(len(order), np.int64), same(one, two))
                 shard = np.where(first, shard_of(one, shards), -1)  # -1: settled here
@@ -211,10 +249,6 @@ def with_copies(blocks: DataFrame) -> DataFrame:
     return answered(blocks.drop("one", "two"), gone.select("blk", F.struct("at").alias("answer")), "copies")
 
 
-def shards_of(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def prefiltered(blocks: DataFrame, hashes: Callable[[Opened], np.ndarray], shards: int, hot: int = 255) -> DataFrame:
     """blk and answer (shard, n, bits, hot): which fingerprints of the block may be repeated, and which may be in ``hot`` blocks."""
 

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .blocks import Opened, answered, by_group, first_of, maybe_repeated, opened, packed, prefiltered, same, sent_hash, shard_of, shards_of, spread, squeezed, with_copies
-from .common import load, written
+from .blocks import Opened, answered, by_group, first_of, maybe_repeated, opened, packed, prefiltered, same, sent_hash, shard_of, spread, squeezed, with_copies
+from .common import load, shards_of, written
 
 #: Words of a window.
 WIDTH = 20
@@ -47,7 +47,7 @@ def _windows(block: Opened, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 def _second(block: Opened, at: np.ndarray, width: int) -> np.ndarray:
     """Another hash of the windows at ``at``."""
     starts, ends, _ = tk.words(block.raw, block.off, tk.SPACED)
-    return tk.windows(tk.word_hashes(255 - block.raw, starts, ends), width)[at]
+    return tk.windows(tk.word_hashes(block.raw, starts, ends, 1), width)[at]
 
 
 #: Columns of what is sent: their numbers, and whether those rise.

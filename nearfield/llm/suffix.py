@@ -40,8 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .blocks import Opened, answered, by_group, first_of, maybe_repeated, opened, packed, prefiltered, same, sent_hash, shard_of, shards_of, spread, squeezed, two_hashes, with_copies
-from .common import load, written
+from .blocks import Opened, answered, by_group, first_of, maybe_repeated, opened, packed, prefiltered, same, sent_hash, shard_of, spread, squeezed, two_hashes, with_copies
+from .common import load, shards_of, written
 
 #: Bytes of a string that is removed, and of an anchor's gram.
 LEAST, GRAM = 100, 32

@@ -5,13 +5,17 @@ becomes one byte buffer with document offsets, words become index arrays into
 it, and hashes of words and word windows become ``uint64`` arrays.  Nothing
 here loops over characters or words in Python.
 
-Word identity is a 64-bit hash.  Two different words, or two different
-windows, get the same hash with a probability of about 2**-64 a pair.
+Word identity is a 64-bit hash.  Hashes are trees of mixed pieces, nowhere sums
+over places, so that no pattern of bytes or words makes two of them meet by
+construction; two different words, or two different windows, meet with a
+probability of about 2**-64 a pair.  Whole texts and whole word sequences are
+told apart by 128 bits of a cryptographic hash (``digests``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +26,12 @@ CHUNK_BYTES = 1_000_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
-_BASE = 0x2545F4914F6CDD1D
-_INV_BASE = pow(_BASE, -1, 1 << 64)
-_TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Where an odd one out has no neighbour.
+_LONE = np.uint64(0xD6E8FEB86659FD93)
+#: One a hash function: those of different salts have nothing in common.
+_SALTS = [np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x8B72E5A3C6D9F04E)]
+#: The first bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _byte_set(*ranges: tuple[int, int]) -> np.ndarray:
@@ -88,23 +95,6 @@ def words(raw: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarra
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, off)
 
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, n at least, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in ((0, _BASE), (1, _INV_BASE)):
-            out = np.empty(size, np.uint64)
-            out[0], done = 1, 1
-            while done < size:
-                out[done : 2 * done] = out[:done] * np.uint64(pow(base, done, 1 << 64))
-                done *= 2
-            _powers[k] = out
-    return _powers[0], _powers[1]
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Every bit of the input reaches every bit of the output; one to one."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1
@@ -112,13 +102,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def folded(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """One hash for each run of ``count`` (one at least) hashes that follow each other: pairs are mixed, then pairs of those."""
+    out, live = np.empty(len(count), np.uint64), np.arange(len(count))
+    while True:
+        off = np.cumsum(count) - count
+        done = count == 1
+        out[live[done]] = h[off[done]]
+        live, off, count = live[~done], off[~done], count[~done]
+        if not len(live):
+            return out
+        half = (count + 1) // 2
+        inner = np.arange(half.sum()) - np.repeat(np.cumsum(half) - half, half)
+        left = np.repeat(off, half) + 2 * inner
+        paired = 2 * inner + 1 < np.repeat(count, half)
+        h = mixed(h[left] * _MULT + np.where(paired, h[np.minimum(left + 1, len(h) - 1)], _LONE))
+        count = half
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A hash of each run of bytes: its pieces of eight bytes, mixed, folded, and mixed with its length."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = _grown(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_TABLE[raw] * power[: len(raw)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    seed, size = _SALTS[salt], ends - starts
+    out = mixed((eights[starts] & _FIRST[np.minimum(size, 8)]) ^ seed)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        count = (size[long] + 7) // 8
+        at = np.repeat(starts[long] - 8 * (np.cumsum(count) - count), count) + 8 * np.arange(count.sum())
+        held = np.minimum(np.repeat(ends[long], count) - at, 8)
+        out[long] = folded(mixed((eights[at] & _FIRST[held]) ^ seed), count)
+    return mixed(out * _MULT + size.astype(np.uint64))
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -145,12 +161,13 @@ def valid(word_off: np.ndarray, width: int, n: int) -> np.ndarray:
 
 def sequences(hashes: np.ndarray, word_off: np.ndarray) -> np.ndarray:
     """One hash for each document's whole word sequence; 0 where it has no words."""
-    if not len(hashes):
-        return np.zeros(len(word_off) - 1, np.uint64)
-    power, inverse = _grown(len(hashes) + 1)
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
-    first = np.minimum(word_off[:-1], len(hashes))
     count = np.diff(word_off)
-    out = mixed((sums[word_off[1:]] - sums[word_off[:-1]]) * inverse[first] + count.astype(np.uint64))
-    return np.where(count > 0, out, np.uint64(0))
+    out = np.zeros(len(count), np.uint64)
+    some = count > 0
+    out[some] = mixed(folded(hashes, count[some]) * _MULT + count[some].astype(np.uint64))
+    return out
+
+
+def digests(parts: Iterable[bytes | memoryview]) -> np.ndarray:
+    """128 bits of a cryptographic hash of each part, as two numbers: equal ones are taken to be equal parts."""
+    return np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in parts), "<i8").reshape(-1, 2)
