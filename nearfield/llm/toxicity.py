@@ -4,19 +4,22 @@
    toxic documents have and others don't.  Pattern voters look at how many
    lexicon entries a text has, how dense they are, and at shouting.
 2. A generative label model takes the votes, and the label as one more voter,
-   as noisy signs of a hidden class.  It estimates each voter's accuracy by
-   expectation and maximisation, and correlations of voters within a class;
-   correlated voters share their weight.
+   as noisy signs of a hidden class.  It estimates each voter's accuracy, the
+   label's too, by expectation and maximisation, and correlations of voters
+   within a class; correlated voters share their weight.
 3. A linear classifier is trained on the posterior labels and scores every
    document; labels, languages, sources and ids are not inputs of a score.
 
-Fitting uses at most ``FIT_ROWS`` labelled rows; everything else runs over all
-documents, without a shuffle.
+Fitting uses at most ``FIT_ROWS`` labelled rows, in one task; everything else
+runs over all documents, without a shuffle.
 
-Edge cases: a null or empty text has the score of a text without votes; a null
-id is scored, and neither held out nor fitted on; an id with several labels
-has the highest; repeated rows give repeated rows; other columns are ignored,
-whatever their names; without usable labels every score is 0.
+Edge cases: a null or empty text has the score of a text without votes; a very
+long text is scored whole; a null id is scored, and neither held out nor fitted
+on; an id with several labels has the highest, and one with several texts is
+fitted on the first by code points, once; repeated rows give repeated rows, of
+equal scores; entries that tell the classes apart equally well are taken by their
+hash; other columns are ignored, whatever their names; without usable labels
+every score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import load, text_of, written
+from .common import dropped, load, text_of, written
 
 #: Labelled rows that the models are fitted on at most, the first by a hash of the id.
 FIT_ROWS = 12_000
@@ -100,39 +103,56 @@ class Model:
 N_PATTERNS = 6
 
 
-#: How often the given label is taken to be wrong, in either class.
-LABEL_NOISE = 0.02
+#: How often the given label is taken to be wrong at first, in either class; and of how many rows that counts as seen.
+LABEL_NOISE, NOISE_ROWS = 0.02, 50
 
 
-def label_model(votes: np.ndarray, label: np.ndarray, steps: int = 25) -> np.ndarray:
-    """Posterior probability of the toxic class for every row.
+@dataclass
+class Labels:
+    """What the label model finds: every row's probability of the toxic class; how often each voter votes in either class; their correlations within a class; and how often the label is wrong in either class."""
+
+    posterior: np.ndarray
+    toxic: np.ndarray
+    clean: np.ndarray
+    correlation: np.ndarray
+    noise: tuple[float, float]
+
+
+def label_model(votes: np.ndarray, label: np.ndarray, steps: int = 25) -> Labels:
+    """The hidden class behind votes (0 or 1) and labels.
 
-    ``votes`` is 0 or 1.  The class is hidden; the label is a voter of known
-    accuracy, which keeps the classes what they are.  Given the class, every
-    other voter votes with its own probability; a voter whose votes correlate
-    with others' given the class counts as 1 / (1 + sum of those correlations)
-    of a voter.
+    Given the class, every voter, and the label, votes with its own probability;
+    a voter whose votes correlate with others' given the class counts as
+    1 / (1 + sum of those correlations) of a voter.  The label keeps the classes
+    what they are: it starts out as nearly right, and is never taken to be wrong in
+    more than a third of a class.
     """
     votes = votes.astype(float)
-    said = np.where(label > 0, 1, -1) * np.log((1 - LABEL_NOISE) / LABEL_NOISE)
-    post = 1 / (1 + np.exp(-said))
+    noise = np.array([LABEL_NOISE, LABEL_NOISE])
+    post = np.where(label > 0, 1 - LABEL_NOISE, LABEL_NOISE)
+    corr = np.eye(votes.shape[1])
     for _ in range(steps):
         share = np.clip(post.mean(), 1e-4, 1 - 1e-4)
         p1 = (post @ votes + 0.5 * votes.mean(0) + 0.01) / (post.sum() + 1)
         p0 = ((1 - post) @ votes + 0.01) / ((1 - post).sum() + 1)
-        centred = votes - post[:, None] * p1 - (1 - post)[:, None] * p0
+        wrong = np.array([post @ (label <= 0), (1 - post) @ (label > 0)])
+        noise = np.clip((wrong + LABEL_NOISE * NOISE_ROWS) / (np.array([post.sum(), (1 - post).sum()]) + NOISE_ROWS), 1e-3, 1 / 3)
+        centred = votes - np.outer(post, p1)
+        centred -= np.outer(1 - post, p0)
         cov = centred.T @ centred / len(votes)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = np.clip(cov / sd[:, None] / sd, 0, 1)
         corr[corr < 0.1] = 0
-        weight = 1 / (corr - np.diag(np.diag(corr)) + np.eye(len(corr))).sum(1)
-        ratio = np.log(p1 / p0), np.log((1 - p1) / (1 - p0))
-        log = np.log(share / (1 - share)) + said + (votes * weight) @ ratio[0] + ((1 - votes) * weight) @ ratio[1]
+        np.fill_diagonal(corr, 1)
+        weight = 1 / corr.sum(1)
+        said = np.where(label > 0, np.log((1 - noise[0]) / noise[1]), np.log(noise[0] / (1 - noise[1])))
+        absent = np.log((1 - p1) / (1 - p0))
+        log = np.log(share / (1 - share)) + said + votes @ (weight * (np.log(p1 / p0) - absent)) + weight @ absent
         new = 1 / (1 + np.exp(-np.clip(log, -30, 30)))
-        if np.abs(new - post).max() < 1e-4:
+        moved, post = np.abs(new - post).max(), new
+        if moved < 1e-4:
             break
-        post = new
-    return new
+    return Labels(post, p1, p0, corr, (float(noise[0]), float(noise[1])))
 
 
 def linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 30) -> np.ndarray:
@@ -153,11 +173,12 @@ def linear(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 30) ->
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts and labels of at most FIT_ROWS rows that aren't held out."""
+    """Texts and labels of at most FIT_ROWS ids that aren't held out, each once."""
     known = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
     known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     rows = docs.select(docs[id_col].alias("_id"), text_of(docs, text_col).alias("text"))
-    return rows.join(F.broadcast(known), F.col("_id") == known["doc_id"]).select("y", "text")
+    found = rows.join(F.broadcast(known), F.col("_id") == known["doc_id"])
+    return found.groupBy("_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
 
 def mined(sample: DataFrame) -> np.ndarray:
@@ -184,11 +205,12 @@ def mined(sample: DataFrame) -> np.ndarray:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """The model; the driver gets at most FIT_ROWS rows of votes."""
+    """The model; one task fits it on the votes of at most FIT_ROWS rows, and the driver gets its weights."""
     sample = written(_sample(docs, labels, id_col, text_col), "tox-sample")
     entries = mined(sample)
     empty = Model(entries, np.append(np.zeros(len(entries) + N_PATTERNS), -30.0))
     if not len(entries):
+        dropped(sample)
         return empty
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,14 +222,22 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 bits = (patterns.astype(np.int64) << np.arange(N_PATTERNS)).sum(1)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, end - first), lists, pa.array(bits)], ["y", "voters", "bits"])
 
-    # ordered, so that a rerun fits the same numbers
-    rows = sorted(sample.mapInArrow(vote, "y int, voters array<int>, bits long").collect(), key=lambda r: (r["y"], r["bits"], r["voters"]))
-    votes = np.zeros((len(rows), len(entries) + N_PATTERNS))
-    for k, r in enumerate(rows):
-        votes[k, r["voters"]] = 1
-        votes[k, len(entries) :] = (r["bits"] >> np.arange(N_PATTERNS)) & 1
-    label = np.array([r["y"] for r in rows])
-    return Model(entries, linear(votes, label_model(votes, label)))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)]
+        if not rows:
+            return
+        rows.sort(key=lambda r: (r[0], r[2], r[1]))  # so that a rerun fits the same numbers
+        votes = np.zeros((len(rows), len(entries) + N_PATTERNS), np.uint8)
+        for k, (_, voters, bits) in enumerate(rows):
+            votes[k, voters] = 1
+            votes[k, len(entries) :] = (bits >> np.arange(N_PATTERNS)) & 1
+        label = np.array([r[0] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([linear(votes, label_model(votes, label).posterior)])], ["weights"])
+
+    votes = sample.mapInArrow(vote, "y int, voters array<int>, bits long").repartition(1)
+    weights = votes.mapInArrow(fit, "weights array<double>").first()
+    dropped(sample)
+    return Model(entries, np.array(weights["weights"])) if weights else empty
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
