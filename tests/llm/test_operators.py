@@ -268,6 +268,83 @@ def test_near_duplicates_of_long_lists_in_blocks(spark, monkeypatch):
     same(got, [(i, n, c, i == c) for i, n, c in brute.groups(rows)])
 
 
+@pytest.mark.parametrize("shingles", [neardup.LIST_SHINGLES, 300])
+def test_long_lists_in_components_that_visit(spark, monkeypatch, shingles):
+    """Two groups that share passages, in lists of many parts, with members between the groups."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(80)]
+    other = base[:62] + [f"v{k}" for k in range(18)]
+    rows = []
+    for k in range(160):
+        w = list(base if k % 3 else other)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(80)] = f"n{rng.randint(0, 10**6)}"
+        rows.append((1000 - k, " ".join(w)))
+    rows.append((2000, " ".join(base[:71] + other[71:])))
+    monkeypatch.setattr(neardup, "LIST_ROWS", 8)
+    monkeypatch.setattr(neardup, "LIST_SHINGLES", shingles)
+    got = neardup.clustered(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id", "kept")
+    same(got, [(i, n, c, i == c) for i, n, c in brute.groups(rows)])
+
+
+@pytest.fixture(scope="module")
+def twins(spark):
+    """Two texts that differ by a Thue-Morse pattern alone, where sums over places meet, without a common string."""
+    rng = random.Random(9)
+    turn = [bin(k).count("1") & 1 for k in range(4096)]
+    pairs = [["".join(rng.choices("abcdefgh", k=4)) for _ in range(2)] for _ in range(2)]
+    words = [[pairs[0][t ^ flip] for t in turn] for flip in (0, 1)]
+    rows = [(flip, " ".join(words[flip])) for flip in (0, 1)]
+    rows += [(2 + flip, "".join("ab"[t ^ flip] for t in turn)) for flip in (0, 1)]
+    rows += [(4 + flip, " ".join(f"{'ab'[t ^ flip]}{k}" for k, t in enumerate(turn))) for flip in (0, 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), rows
+
+
+def test_patterned_texts_are_told_apart(twins):
+    df, rows = twins
+    same(neardup.clustered(df).select("doc_id", "n_shingles", "component_id", "kept"), [(i, n, c, i == c) for i, n, c in brute.groups(rows)])
+    same(suffix.removed(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)), list(brute.byte_dedup(rows)))
+    same(substring.removed(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)), list(brute.word_dedup(rows)))
+
+
+def test_hashes_of_patterns_differ():
+    turn = np.array([bin(k).count("1") & 1 for k in range(4096)])
+    raw = np.concatenate([turn, 1 - turn]).astype(np.uint8) + 97
+    for salt in (0, 1):
+        a, b = tk.word_hashes(raw, np.array([0, 4096]), np.array([4096, 8192]), salt)
+        assert a != b
+    words = tk.word_hashes(raw, np.arange(8192), np.arange(1, 8193))
+    a, b = tk.sequences(words, np.array([0, 4096, 8192]))
+    assert a != b
+
+
+def test_blocks_know_their_buckets(spark):
+    from nearfield.llm import blocks
+
+    numbers = np.array([0, 1, -1, 7, 1 << 40, -(1 << 50) + 3, (5 << 32) + 9])
+    df = spark.createDataFrame([(int(x),) for x in numbers], "id long")
+    want = [r[0] for r in df.select(F.pmod(F.hash("id"), F.lit(13))).collect()]
+    assert blocks.bucket_of(numbers, 13).tolist() == want
+    ids = blocks.block_ids(3, 50)
+    got = np.array([next(ids) for _ in range(100)])
+    assert len(set(got.tolist())) == 100 and len(set(blocks.bucket_of(got, 50).tolist())) == blocks.FAN and set((got >> 32).tolist()) == {3}
+
+
+def test_components(spark):
+    from nearfield.llm.components import components
+
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(k, k + 1) for k in range(400, 500)] + [(600, k) for k in range(601, 900)] + [(7, 7), (None, 3), (4, None)]
+    root = {}
+    for a, b in links:
+        if a is not None and b is not None:
+            group = {v for v, r in root.items() if r in (root.get(a, a), root.get(b, b))} | {a, b}
+            root |= dict.fromkeys(group, min(group))
+    got = {r["v"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {v: r for v, r in root.items() if v != r}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_deduplicated_keeps_the_columns(odd):
     df, rows = odd
     out = neardup.deduplicated(df)
@@ -281,6 +358,29 @@ def test_toxicity(spark):
     assert r[0] > 0.97 and r[1] > 0.85 and r[2] < 0.01
 
 
+def test_label_model_recovers_what_was_simulated():
+    rng = np.random.default_rng(5)
+    n = 6000
+    toxic = rng.random(n) < 0.3
+    said = np.where(rng.random(n) < np.where(toxic, 0.12, 0.05), ~toxic, toxic)
+    p1, p0 = np.array([0.9, 0.7, 0.5, 0.8, 0.6]), np.array([0.05, 0.1, 0.02, 0.2, 0.1])
+    votes = rng.random((n, 5)) < np.where(toxic[:, None], p1, p0)
+    votes = np.column_stack([votes, np.where(rng.random(n) < 0.9, votes[:, 2], rng.random(n) < 0.2)])  # a voter that mostly copies another
+    found = toxicity.label_model(votes, said.astype(int))
+    assert np.abs(found.toxic[:5] - p1).max() < 0.04 and np.abs(found.clean[:5] - p0).max() < 0.03
+    assert found.correlation[2, 5] > 0.6 and found.correlation[0, 3] == 0 and abs(found.noise[0] - 0.12) < 0.03 and abs(found.noise[1] - 0.05) < 0.03
+    # the posterior is nearer to the hidden class than the label is, and differs from it
+    assert ((found.posterior > 0.5) != toxic).mean() < 0.5 * (said != toxic).mean() < 0.5 * ((found.posterior > 0.5) != said).mean() + 0.05
+
+
+def test_fitting_takes_each_id_once(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k % 80}") for k in range(4000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    got = toxicity._sample(docs, labels, "doc_id", "text").collect()
+    free = [r[0] for r in docs.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id").distinct().collect()]
+    assert sorted(map(tuple, got)) == sorted((i % 2, min(f"text {k % 80}" for k in range(4000) if k % 40 == i)) for i in free)
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     df, rows = odd
     labels = spark.createDataFrame([(None, 1, 1), (3, 1, None), (4, 1, 1), (4, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int")
@@ -290,6 +390,8 @@ def test_toxicity_of_odd_rows(spark, odd):
     none = toxicity.fitted(df, labels.limit(0))
     assert {r["predicted"] for r in toxicity.scored(df, none).collect()} == {0}
     assert toxicity.kept(df, none).columns == df.columns and toxicity.kept(df, none).count() == len(rows)
+    nothing = empty(spark, df)
+    assert toxicity.scored(nothing, toxicity.fitted(nothing, labels)).count() == toxicity.kept(nothing, model).count() == 0
 
 
 def test_byte_dedup(case):
