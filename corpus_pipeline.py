@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir).  All but the last return the columns
 of ``docs``.
+
+Edge cases: a null text counts as empty, is no one's copy and stays, with nothing
+taken of it; a null id is not fitted on, and its row is judged by its text; of rows
+with equal ids and texts all stay or none; other columns travel along, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from nearfield.llm import decontaminate, mixing, neardup, secrets, toxicity
-from nearfield.llm.common import load, written
+from nearfield.llm.common import dropped, dropped_since, load, working, written
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +55,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each result written to the shared folder and read again."""
-    docs = load(spark, sf_dir, "documents")
+    docs, last = load(spark, sf_dir, "documents"), ()
     for name, stage in STAGES:
+        before = working()
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        dropped_since(before, but=docs)
+        dropped(*last)
+        last = (docs,)
     return docs
 
 
