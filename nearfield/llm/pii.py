@@ -7,9 +7,11 @@ reported; the further kinds (iban, by mod-97, and national, by its form) only
 from ``THRESHOLD`` on.  An account number has the length of its country, so
 that words and numbers after it stay outside.
 
-Edge cases: a null text counts as empty, and an empty one has no spans; a null
-id stays null; repeated rows give repeated rows; other columns are ignored,
-whatever their names; an empty table gives an empty result.
+Edge cases: a null text counts as empty, and an empty one has no spans; a very
+long text is searched whole, in time that grows with its length and its matches;
+spans of one kind are ordered by start, and those of two kinds at one place by
+kind as listed; a null id stays null; repeated rows give repeated rows; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hex_sha, load, text_of
-from .spans import SPANS, Kind, all_spans, counted, joined, masked, with_spans
+from .spans import SPANS, Kind, all_spans, apart, counted, cut, joined, masked, pieces, with_spans
 
 _LOCAL = "A-Za-z0-9._%+-"
 _DIGITS = r"[0-9]"
@@ -78,18 +80,18 @@ _ACCOUNT = (
 _ACCOUNT_CHARS = 68
 
 
-def _accounts(text: Column, heads: Column) -> Column:
+def _accounts(parts: Column, heads: Column) -> Column:
     """The account numbers that hold among those that begin at the heads; of overlapping ones the first."""
-    value = lambda s: F.regexp_extract(F.substring(text, s["start"] + 1, F.lit(_ACCOUNT_CHARS)), _ACCOUNT, 0)
+    value = lambda s: F.regexp_extract(cut(parts, s["start"], F.lit(_ACCOUNT_CHARS)), _ACCOUNT, 0)
     whole = F.transform(heads, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), value(s).alias("value")))
     sure = F.transform(F.filter(whole, lambda s: _mod97(s["value"])), lambda s: F.struct(s["kind"], s["start"], (s["start"] + F.length(s["value"])).alias("stop"), s["value"])).cast(SPANS)
-    return F.aggregate(sure, F.array().cast(SPANS), lambda a, s: F.when(F.get(a, F.size(a) - 1)["stop"] > s["start"], a).otherwise(F.concat(a, F.array(s))))
+    return apart(sure)
 
 
 #: A match begins where a run of local characters begins or where the last match ended, which keeps long runs linear.
 BASE = (
     Kind("email", rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", may=lambda t: t.contains("@")),
-    Kind("ip", r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _small_parts),
+    Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", _small_parts, may=lambda t: t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")),
     Kind("card", r"[0-9]++(?:[\x20-][0-9]++)*+", _luhn, may=lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){12}")),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), may=lambda t: t.contains("+")),
 )
@@ -116,9 +118,9 @@ NEAR = 40
 RAISE, LOWER, THRESHOLD = 0.25, 0.3, 0.5
 
 
-def _score(text: Column, s: Column) -> Column:
+def _score(parts: Column, s: Column) -> Column:
     from_ = F.greatest(s["start"] - NEAR, F.lit(0))
-    near = F.lower(F.concat(F.substring(text, from_ + 1, s["start"] - from_), F.lit(" "), F.substring(text, s["stop"] + 1, F.lit(NEAR))))
+    near = F.lower(F.concat(cut(parts, from_, s["start"] - from_), F.lit(" "), cut(parts, s["stop"], F.lit(NEAR))))
     prior, bonus = F.lit(0.0), F.lit(False)
     for k in KINDS:
         prior = F.when(s["kind"] == k.name, F.lit(PRIOR[k.name])).otherwise(prior)
@@ -131,9 +133,11 @@ def found(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc
     """The kept columns, ``_text``, ``spans`` (by kind, then start) and ``scores`` in the same order."""
     df = docs.select(*[docs[c] for c in keep], text_of(docs, text_col).alias("_text"))
     df = with_spans(df, KINDS)
-    df = df.withColumn("_iban", F.when(F.col("_iban").isNotNull(), _accounts(F.col("_text"), F.col("_iban"))))
+    some = F.coalesce(*[F.col(f"_{k.name}") for k in KINDS]).isNotNull()
+    df = df.withColumn("_parts", F.when(some, pieces(F.col("_text"))))
+    df = df.withColumn("_iban", F.when(F.col("_iban").isNotNull(), _accounts(F.col("_parts"), F.col("_iban"))))
     rows = all_spans(*[F.col(f"_{k.name}") for k in KINDS])
-    scored = F.transform(rows, lambda s: F.struct(s.alias("span"), _score(F.col("_text"), s).alias("score")))
+    scored = F.transform(rows, lambda s: F.struct(s.alias("span"), _score(F.col("_parts"), s).alias("score")))
     df = df.select(*keep, "_text", scored.alias("_scored"))
     base = [k.name for k in BASE]
     held = F.filter("_scored", lambda x: x["span"]["kind"].isin(base) | (x["score"] >= THRESHOLD))

@@ -6,7 +6,9 @@ a copied example; a random-looking value of one owner is live-looking.  Values t
 leave their row: only hashes are shuffled, aggregated to one row per owner
 before owners are counted.
 
-Edge cases: a null text counts as empty, and an empty one has no spans; a private
+Edge cases: a null text counts as empty, and an empty one has no spans; a very
+long text is searched whole, in time that grows with its length and its matches;
+spans that begin together are ordered by kind as listed; a private
 key without its last line ends where the key's lines end, and one without a body
 is a stand-in; a null repository or owner is one of its own; a null id stays null; repeated rows
 give repeated rows, and count once as a repository; other columns are ignored,
@@ -118,12 +120,14 @@ def scanned(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source"
 def redacted(docs: DataFrame, repo_col: str = "doc_id", owner_col: str = "source", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs`` with all its columns; live-looking values are replaced by their kind in brackets.
 
-    ``length_col`` names a column with the text's length, which follows.  Only
-    rows with candidates are read again, and only their verdicts are joined.
+    ``length_col`` names a column with the text's length, which follows.  The
+    texts are read twice, and only verdicts are joined.
     """
-    rows = found(docs, repo_col, owner_col, text_col, (repo_col,)).where(F.size("spans") > 0)
+    rows = found(docs, repo_col, owner_col, text_col, (repo_col,))
     key = F.xxhash64("_repo", "_owner", "_text").alias("key")
-    flat = written(rows.select(key, F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), F.explode("spans").alias("span")), "secrets").distinct()
+    keyed = rows.select(key, F.col("_repo").alias("repo"), F.col("_owner").alias("owner"), "spans")  # the text is hashed once, not for each span
+    # a filter on the spans, which a plain explode implies, would search every text a second time
+    flat = written(keyed.select("key", "repo", "owner", F.explode_outer("spans").alias("span")).where(F.col("span").isNotNull()), "secrets").distinct()
     live = classified(flat).where(F.col("verdict") == "live").groupBy("key").agg(F.collect_list("span").alias("_live"))
     live = live.withColumnRenamed("key", "_key")
     text = text_of(docs, text_col)

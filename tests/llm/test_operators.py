@@ -76,6 +76,24 @@ def test_pii_further_kinds(spark):
     assert pii.redacted(df).where("doc_id = 0").first()["text"] == "IBAN [IBAN] there"
 
 
+def test_spans_of_very_long_texts(spark):
+    """Runs, and very many matches, in seconds."""
+    import time
+
+    emails, pairs = "a.b@cd.ef " * 20_000, 'token="abc123def4567" ' * 20_000
+    texts = ["7" * 1_000_000, emails, pairs, "1.2.3.4 " * 10_000, "+1 212 555 0100;" * 10_000, "9." * 40_000, "GB82 WEST 1234 5698 7654 32, " * 4_000]
+    df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string").repartition(7)
+    began = time.time()
+    got = {r[0]: tuple(r[1:]) for r in pii.found(df).select("doc_id", F.size("spans"), F.get("spans", F.size("spans") - 1)["stop"]).collect()}
+    assert got[1] == (20_000, len(emails) - 1) and got[3][0] == 10_000 and got[4][0] == 10_000 and got[6] == (4_000, len(texts[6]) - 2)
+    found = {r[0]: (r[1], r[2]) for r in secrets.found(df).select("doc_id", F.size("spans"), F.get("spans", F.size("spans") - 1)["stop"]).collect()}
+    assert found[2] == (20_000, len(pairs) - 2) and found[0][0] == 1
+    masked = {r[0]: r[1] for r in pii.redacted(df).collect()}
+    assert masked[1] == "[EMAIL] " * 20_000 and masked[6] == "[IBAN], " * 4_000 and masked[0] == texts[0]
+    assert {r[0]: r[1] for r in secrets.redacted(df).select("doc_id", "text").collect()}[2] == "[ASSIGN]\" " * 20_000
+    assert time.time() - began < 120
+
+
 @pytest.mark.parametrize("number", ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"])
 def test_account_numbers_end_with_themselves(spark, number):
     after = [" The account", " AND more", " BIC X", " 1234", " 1", " A", "", ".", "\nTHE", " there", " GB82WEST12345698765432"]
