@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import curves
 from ..functions import vectors as V
-from ..operators import cliques, clustering, graphs, ivf, knn, prune, search, tree
+from ..operators import cliques, clustering, edits, graphs, ivf, knn, prune, search, tree
 
 K = 10
 CENTROIDS = 8
@@ -184,6 +184,20 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
+def _edited(s: SparkSession, d: str) -> DataFrame:
+    """The graph with one neighbour more for every third node, another list for the next, and none for the rest."""
+    third = lambda k: _nodes(s, d).where(F.col("id") % 3 == k).select(F.col("id").alias("src"))
+    adj = edits.appended(_adj(s, d), third(1).select("src", F.array("src").alias("nbrs")), DEGREE + 1)
+    adj = edits.set_neighbours(adj, third(2).select("src", F.array(F.lit(0).cast("long")).alias("nbrs")), DEGREE + 1)
+    return edits.cleared(adj, third(0))
+
+
+def _reversed(s: SparkSession, d: str) -> DataFrame:
+    v = vectors(s, d)
+    order = v.crossJoin(F.broadcast(v.agg(F.max("id").alias("most")))).select((F.col("most") - F.col("id")).alias("new_id"), F.col("id").alias("old_id"))
+    return edits.permuted(v, order).select("id", F.get("vec", F.lit(0)).cast("double").alias("x"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     e = neighbour_edges
     flat = lambda df: df.select("src", "pos", "dst", "d")
@@ -246,6 +260,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "visited_recall": _visited_recall,
         "pareto_front": lambda s, d: curves.pareto(s.read.parquet(f"{d}/part.parquet"), "p_size", "p_retailprice", ("p_brand",)),
         "hilbert_order": _hilbert,
+        "graph_empty": lambda s, d: edits.empty_graph(_nodes(s, d)).select("src", F.size("nbrs").alias("degree")),
+        "graph_edited": lambda s, d: graphs.edges_of(_edited(s, d)),
+        "graph_mapped": lambda s, d: graphs.edges_of(edits.mapped(_adj(s, d), lambda _, nbrs: F.reverse(nbrs))),
+        "graph_sorted": lambda s, d: graphs.edges_of(edits.ordered(_adj(s, d), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0))),
+        "neighbours_by_product": lambda s, d: edits.by_metric(e(s, d), vectors(s, d)),
+        "neighbours_closer_than": lambda s, d: flat(edits.closer_than(e(s, d), 1.15)),
+        "average_degree": lambda s, d: edits.average_degree(graphs.adjacency(_nodes(s, d), graphs.mutual(e(s, d)))),
+        "sorted_distances": lambda s, d: edits.sorted_lists(knn.within(vectors(s, d), float("inf"))),
+        "distance_lookup": lambda s, d: edits.distance_of(knn.within(vectors(s, d), float("inf")), asked(s, d).select(F.col("qid").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("j"))),
+        "permuted_rows": _reversed,
+        "stride_sample": lambda s, d: edits.strided(_nodes(s, d), 20),
+        "mean_recall": lambda s, d: edits.mean_recall(_recall(ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2), knn.knn(asked(s, d), vectors(s, d), K))),
+        "self_recall": lambda s, d: edits.self_recall(ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2)),
         "exact_duplicates": lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy("p_size", "p_retailprice").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1"),
     }
 
@@ -359,7 +386,8 @@ def oracle_sql() -> dict[str, str]:
     probe = f"p AS ({_near('(SELECT qid AS id, qvec AS vec FROM q)', c8, 2)}), o AS ({_near('v', c8, 1)})"
     ivf_ = _top("SELECT p.id AS qid, q.qvec, v.id, v.vec FROM p JOIN q ON q.qid = p.id JOIN o ON o.cid = p.cid JOIN v ON v.id = o.id", K)
     most = 1023
-    return {
+    pairs = f"SELECT a.id AS i, b.id AS j, {_l2('a.vec', 'b.vec')} AS d FROM v a JOIN v b ON a.id < b.id"
+    out = {
         **{f"pair_{m}": f"WITH {_V} SELECT a.id, {_sql_metric(m, 'a.vec', 'b.vec')} AS dist FROM v a JOIN v b ON b.id = a.id + 1" for m in V.METRICS},
         **{n: top + _top(every, K, m) for n, m in (("knn_exact", "euclidean"), ("knn_squared", "squared_euclidean"), ("knn_cosine", "cosine"), ("knn_inner_product", "inner_product"))},
         "knn_internal": f"{graph} SELECT * FROM e",
@@ -401,4 +429,18 @@ def oracle_sql() -> dict[str, str]:
         "pareto_front": "SELECT p_brand, p_size, p_retailprice FROM (SELECT p_brand, p_size, max(p_retailprice) AS p_retailprice FROM part GROUP BY ALL) a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_size > a.p_size AND b.p_retailprice >= a.p_retailprice)",
         "hilbert_order": f"WITH x AS (SELECT min(p_size) AS x0, max(p_size) AS x1, min(p_retailprice) AS y0, max(p_retailprice) AS y1 FROM part), g AS (SELECT p_partkey, trunc((p_size - x0) / (x1 - x0) * {most})::INT AS gx, trunc((p_retailprice - y0) / (y1 - y0) * {most})::INT AS gy FROM part, x), {_hilbert_sql(10)} SELECT p_partkey, gx, gy, place FROM h0",
         "exact_duplicates": "SELECT p_size, p_retailprice, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL HAVING count(*) > 1",
+        "graph_empty": f"WITH {_V} SELECT id AS src, 0 AS degree FROM v",
+        "graph_edited": f"{graph} SELECT src, pos, dst FROM e WHERE src % 3 = 1 UNION ALL SELECT id, {DEGREE}, id FROM v WHERE id % 3 = 1 UNION ALL SELECT id, 0, 0 FROM v WHERE id % 3 = 2",
+        "graph_mapped": f"{graph} SELECT src, ({DEGREE - 1} - pos)::INT AS pos, dst FROM e",
+        "graph_sorted": f"{graph} SELECT src, (row_number() OVER (PARTITION BY src ORDER BY dst DESC) - 1)::INT AS pos, dst FROM e",
+        "neighbours_by_product": f"{graph} SELECT src, (row_number() OVER (PARTITION BY src ORDER BY {_sql_metric('inner_product', 'a.vec', 'b.vec')}, dst) - 1)::INT AS pos, dst FROM e JOIN v a ON a.id = src JOIN v b ON b.id = dst",
+        "neighbours_closer_than": f"{graph} SELECT * FROM e WHERE d < 1.15",
+        "average_degree": f"{graph}, {_MUTUAL}, {_DEG} SELECT (sum(deg) // count(*))::BIGINT AS avg_degree FROM g",
+        "sorted_distances": f"WITH {_V}, p AS ({pairs}) SELECT i, (row_number() OVER (PARTITION BY i ORDER BY d, j) - 1)::INT AS pos, j, d FROM (SELECT * FROM p UNION ALL SELECT j, i, d FROM p)",
+        "distance_lookup": f"{top}SELECT q.qid AS i, r::BIGINT AS j, CASE WHEN q.qid = r THEN 0.0::DOUBLE ELSE {_l2('q.qvec', 'v.vec')} END AS d FROM q, range(10) x(r) JOIN v ON v.id = r",
+        "permuted_rows": f"WITH {_V} SELECT (SELECT max(id) FROM v) - id AS id, vec[1]::DOUBLE AS x FROM v",
+        "stride_sample": f"WITH {_V} SELECT id FROM v WHERE id % 20 = 0",
+        "self_recall": f"{top[:-1]}, {probe}, f AS ({ivf_}) SELECT avg((nbr = qid)::INT) AS self_recall FROM f WHERE rank = 0",
     }
+    out["mean_recall"] = f"SELECT round(avg(recall), 6) AS mean_recall FROM ({out['ivf_recall']})"
+    return out

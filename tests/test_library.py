@@ -350,3 +350,22 @@ def test_recall_of_built_indexes(spark, name, sf):
     recall = len(found & truth) / len(truth)
     print(name, sf, round(recall, 4))
     assert recall >= 0.9
+
+
+def test_bounds_samples_and_lookups(spark, tmp_path):
+    from nearfield.operators import edits
+
+    adj = spark.createDataFrame([(0, [1, 2]), (1, []), (2, [0])], "src long, nbrs array<long>")
+    more = spark.createDataFrame([(0, [5]), (9, [1])], "src long, nbrs array<long>")
+    assert {r["src"]: r["nbrs"] for r in edits.appended(adj, more, 3).collect()} == {0: [1, 2, 5], 1: [], 2: [0]}
+    with pytest.raises(Exception, match="too many neighbours of 0"):
+        edits.appended(adj, more, 2).collect()
+    rows = spark.range(100)
+    a, b, c = ([r["id"] for r in edits.sampled(rows.repartition(n), 10, seed).collect()] for n, seed in ((3, 1), (5, 1), (3, 2)))
+    assert a == b != c and len(set(a)) == 10
+    pairs = spark.createDataFrame([(0, 1, 2.5)], "i long, j long, d double")
+    asked = spark.createDataFrame([(1, 0), (0, 1), (1, 1), (0, 7)], "i long, j long")
+    assert {(r["i"], r["j"]): r["d"] for r in edits.distance_of(pairs, asked).collect()} == {(1, 0): 2.5, (0, 1): 2.5, (1, 1): 0.0, (0, 7): None}
+    for _ in range(2):
+        edits.append_csv(rows.limit(3).coalesce(1), f"{tmp_path}/sweep")
+    assert spark.read.csv(f"{tmp_path}/sweep", header=True).count() == 6
