@@ -255,6 +255,23 @@ def test_mixing(spark, case):
         assert abs(sum(r["size"] * r["copies"] for r in by[s]) - target[s]) <= max(1, most / 2)
 
 
+def test_mixing_in_several_flights_and_of_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(mixing, "HELD", 4)
+    rows = [(i, "w " * (1 + i * 7 % 40), "a") for i in range(4000)] + [(9, "x " * 30, "b")] * 1001 + [(i, "y", "c") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(df).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+    for rs in by.values():
+        assert abs(sum(r["size"] * r["copies"] for r in rs) - rs[0]["target"]) <= max(r["size"] for r in rs) / 2
+    equal = {r["copies"] for r in by["b"]}
+    assert len(by["b"]) == 1001 and max(equal) - min(equal) <= 1
+    assert sorted(map(str, mixing.mixed(df.repartition(5)).collect())) == sorted(map(str, got))
+
+
 def test_flight_keeps_the_sums():
     rng = np.random.default_rng(0)
     for n in (1, 2, 3, 50, 400):
