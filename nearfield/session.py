@@ -6,11 +6,13 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_stored: list[tuple[SparkSession, str]] = []
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -57,3 +59,23 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     """Sees to it that the session has a checkpoint folder."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back: lineage ends there, and joins know their real size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/nearfield-{spark.sparkContext.applicationId}/rows-{uuid.uuid4().hex[:12]}"
+    _stored.append((spark, path))
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove() -> None:
+    """Stored rows go when the program ends, as far as the session still runs."""
+    for spark, path in _stored:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone; nothing depends on this
+            return
