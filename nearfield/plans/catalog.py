@@ -222,6 +222,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ivf_recall": lambda s, d: _recall(ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2), knn.knn(asked(s, d), vectors(s, d), K)),
         "kmt_search_beam": lambda s, d: two_level_tree(s, d).search(asked(s, d), K, 3),
         "kmt_search_path": lambda s, d: two_level_tree(s, d).search(asked(s, d), K, 1),
+        "kmt_partition_of": lambda s, d: two_level_tree(s, d).partition_of(vectors(s, d)),
+        "kmt_partition_points": lambda s, d: (lambda t: t.points_of(t.reached(asked(s, d))))(two_level_tree(s, d)),
+        "kmt_query_partition": lambda s, d: two_level_tree(s, d).reached(asked(s, d)),
         "kmt_built_search": _built_tree_search,
         "ivf_built_search": _built_ivf_search,
         "edge_filter_epsilon": lambda s, d: flat(graphs.shorter_than(e(s, d), 1.15)),
@@ -318,7 +321,8 @@ def _lloyd(rounds: int) -> str:
     return f"WITH {_V}, {c} SELECT cid, p::INT AS pos, round(cvec[p + 1], 6) AS x FROM c{rounds}, range(64) t(p)"
 
 
-def _tree(beam: int) -> str:
+def _tree(beam: int, ask: str | None = None) -> str:
+    """The search of the two-level tree, or what else is asked of its leaves' points (pts) and the beam's leaves (b)."""
     roots, leaves = "(SELECT id AS cid, vec AS cvec FROM v WHERE id < 4)", "(SELECT id AS cid, vec AS cvec FROM v WHERE id BETWEEN 4 AND 19)"
     return f"""WITH {_V}, {_Q}, l AS (SELECT * FROM v WHERE id BETWEEN 4 AND 19), up AS ({_near("l", roots, 1)}), pts AS ({_near("v", leaves, 1)}),
     n AS (SELECT id AS node, vec AS cvec, id < 4 AND id IN (SELECT cid FROM up) AS inner_ FROM v WHERE id < 4),
@@ -326,7 +330,7 @@ def _tree(beam: int) -> str:
     b1 AS (SELECT qid, node, dist FROM b0 WHERE NOT inner_ UNION ALL SELECT q.qid, up.id, {_l2("q.qvec", "l.vec")} FROM b0 JOIN up ON up.cid = b0.node JOIN l ON l.id = up.id JOIN q ON q.qid = b0.qid WHERE b0.inner_),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, node) AS rn FROM b1) WHERE rn <= {beam}),
     h AS (SELECT DISTINCT b.qid, pts.id FROM b JOIN pts ON pts.cid = b.node)
-    {_top("SELECT h.qid, q.qvec, v.id, v.vec FROM h JOIN q ON q.qid = h.qid JOIN v ON v.id = h.id", K)}"""
+    {ask or _top("SELECT h.qid, q.qvec, v.id, v.vec FROM h JOIN q ON q.qid = h.qid JOIN v ON v.id = h.id", K)}"""
 
 
 def _hilbert_sql(order: int) -> str:
@@ -405,6 +409,9 @@ def oracle_sql() -> dict[str, str]:
         "ivf_recall": f"{top[:-1]}, {probe}, f AS ({ivf_}), t AS ({_top(every, K)}), n AS (SELECT q.qid, (SELECT count(*) FROM f WHERE f.qid = q.qid) AS c FROM q) SELECT n.qid, CASE WHEN least(c, {K}) > 0 THEN (SELECT count(*) FROM f JOIN t ON t.qid = f.qid AND t.nbr = f.nbr WHERE f.qid = n.qid AND f.rank < c AND t.rank < c) / least(c, {K}) END AS recall FROM n",
         "kmt_search_beam": _tree(3),
         "kmt_search_path": _tree(1),
+        "kmt_partition_of": _tree(1, "SELECT id, cid AS node_id FROM pts"),
+        "kmt_partition_points": _tree(1, "SELECT cid AS node_id, id FROM pts WHERE cid IN (SELECT node FROM b)"),
+        "kmt_query_partition": _tree(1, "SELECT qid, node AS node_id FROM b"),
         "robust_prune": _prune_sql(1.01, 4),
         "beam_search": f"{_beam(20)} SELECT qid, (rn - 1)::INT AS rank, z.id AS nbr, z.d AS dist FROM (SELECT qid, unnest(beam) AS z, unnest(range(1, len(beam) + 1)) AS rn FROM w WHERE cur IS NULL) WHERE rn <= {K}",
         "beam_search_trace": f"{_beam(10)} SELECT qid, step, expanded, array_to_string(list_transform(beam, lambda z: z.id), ',') AS beam FROM w WHERE step >= 0",
