@@ -369,3 +369,14 @@ def test_bounds_samples_and_lookups(spark, tmp_path):
     for _ in range(2):
         edits.append_csv(rows.limit(3).coalesce(1), f"{tmp_path}/sweep")
     assert spark.read.csv(f"{tmp_path}/sweep", header=True).count() == 6
+
+
+def test_tiles_of_queries_find_the_same(monkeypatch):
+    rng = np.random.default_rng(3)
+    q, x = rng.random((37, 4)), np.repeat(rng.random((20, 4)), 2, 0)
+    for metric in V.METRICS:
+        whole = knn._best(metric, q, x, np.arange(40), 3)
+        monkeypatch.setattr(knn, "TILE", 100)
+        tiled = knn._best(metric, q, x, np.arange(40), 3)
+        monkeypatch.undo()
+        assert all(np.array_equal(a, b) for a, b in zip(whole, tiled, strict=True)) and len(whole[0]) == 37 * 3
