@@ -243,6 +243,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "maximal_cliques": lambda s, d: _named(cliques.maximal(_nodes(s, d), _both(e(s, d)))),
         "clique_sizes": lambda s, d: cliques.sizes(cliques.maximal(_nodes(s, d), e(s, d))),
         "clique_faults": lambda s, d: cliques.invalid(cliques.maximal(_nodes(s, d), e(s, d)), e(s, d)),
+        "clique_faults_found": lambda s, d: (lambda w: w.select(F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "a", "b"))(cliques.invalid(cliques.maximal(_nodes(s, d), _both(e(s, d))), e(s, d))),
         "disjoint_cliques": lambda s, d: cliques.disjoint(cliques.maximal(_nodes(s, d), e(s, d))),
         "clique_summary": lambda s, d: cliques.summary(cliques.maximal(_nodes(s, d), e(s, d))),
         "compact_remap": lambda s, d: cliques.compacted(*_compact(s, d)),
@@ -422,6 +423,7 @@ def oracle_sql() -> dict[str, str]:
         "clique_sizes": f"WITH RECURSIVE {_V}, {_EDGES}, {_MUTUAL}, {_cliques('m')} SELECT len(members)::INT AS size, count(*) AS n, len(members) * count(*) AS points FROM x GROUP BY len(members)",
         "clique_summary": f"WITH RECURSIVE {_V}, {_EDGES}, {_MUTUAL}, {_cliques('m')}, b AS (SELECT members, len(members) AS s FROM x WHERE len(members) > 1) SELECT count(*) AS cliques, max(s)::INT AS largest, min(s)::INT AS smallest, round(avg(s), 2) AS mean, coalesce(sum(s - 1), 0)::BIGINT AS saved, (SELECT count(DISTINCT c) FROM (SELECT unnest(members) AS c FROM b)) AS covered FROM b",
         "clique_faults": f"WITH RECURSIVE {_V}, {_EDGES}, {_MUTUAL}, {_cliques('m')}, y AS (SELECT members, unnest(members) AS a FROM x), z AS (SELECT members, a, unnest(members) AS b FROM y) SELECT members, a, b FROM z WHERE a < b AND NOT EXISTS (SELECT 1 FROM m WHERE m.src = a AND m.dst = b)",
+        "clique_faults_found": f"WITH RECURSIVE {_V}, {_EDGES}, {_MUTUAL}, u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), {_cliques('u')}, y AS (SELECT members, unnest(members) AS a FROM x), z AS (SELECT members, a, unnest(members) AS b FROM y) SELECT array_to_string(members, ',') AS members, a, b FROM z WHERE a < b AND NOT EXISTS (SELECT 1 FROM m WHERE m.src = a AND m.dst = b)",
         "distance_matrix": f"WITH {_V} SELECT a.id AS i, b.id AS j, {_l2('a.vec', 'b.vec')} AS d FROM v a JOIN v b ON a.id < b.id",
         "nearest_edges": f"{graph}, t AS (SELECT src, dst FROM e WHERE pos < 3) SELECT count(*) AS nodes, count(*) FILTER (EXISTS (SELECT 1 FROM t WHERE t.src = n.src AND t.dst = n.dst)) AS linked, count(*) FILTER (EXISTS (SELECT 1 FROM t WHERE t.src = n.dst AND t.dst = n.src)) AS linked_back FROM (SELECT src, dst FROM e WHERE pos = 0) n",
         "alpha_sets": f"{graph} SELECT x.src, x.dst AS nbr, y.dst AS covered FROM e x JOIN e y ON x.src = y.src AND x.dst <> y.dst JOIN v vx ON vx.id = x.dst JOIN v vy ON vy.id = y.dst WHERE 1.05 * {_l2('vx.vec', 'vy.vec')} < y.d",

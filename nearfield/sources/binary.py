@@ -168,18 +168,23 @@ def register(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: End of the name of a file that is being written.
+_PART = ".part"
+
+
 def _laid_out(path: str, head: list[int], size: int) -> None:
-    with open(path, "wb") as f:
+    """A file of this size beside ``path``, which keeps its content until all rows are written."""
+    with open(path + _PART, "wb") as f:
         f.write(np.array(head, "<u4").tobytes())
         f.truncate(size)
 
 
 def _put(df: DataFrame, path: str, place) -> int:
-    """Writes (offset, bytes) that ``place`` makes of each batch; returns the rows written."""
+    """Writes (offset, bytes) that ``place`` makes of each batch to the file laid out, which then takes its name; returns the rows written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
-        with open(path, "r+b") as f:
+        with open(path + _PART, "r+b") as f:
             for b in batches:
                 for offset, data in place(b):
                     f.seek(offset)
@@ -187,7 +192,9 @@ def _put(df: DataFrame, path: str, place) -> int:
                 n += b.num_rows
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    return df.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = df.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    os.replace(path + _PART, path)
+    return n
 
 
 def write_vectors(df: DataFrame, path: str, element: str = "float") -> None:
@@ -228,7 +235,7 @@ def write_graph(adj: DataFrame, path: str, block: int = 1 << 16) -> None:
         t = t.sort_by("src")
         first = t["src"][0].as_py()
         lists = t["nbrs"].to_pylist()
-        with open(path, "r+b") as f:
+        with open(path + _PART, "r+b") as f:
             f.seek(8 + 4 * first)
             f.write(np.array([len(x) for x in lists], "<u4").tobytes())
             f.seek(8 + 4 * (n + starts[first // block]))
@@ -236,6 +243,7 @@ def write_graph(adj: DataFrame, path: str, block: int = 1 << 16) -> None:
         return pa.table({"n": pa.array([len(lists)], pa.int64())})
 
     adj.withColumn("b", F.floor(F.col("src") / block)).groupBy("b").applyInArrow(run, "n long").agg(F.sum("n")).first()
+    os.replace(path + _PART, path)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
