@@ -244,7 +244,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clique_sizes": lambda s, d: cliques.sizes(cliques.maximal(_nodes(s, d), e(s, d))),
         "clique_faults": lambda s, d: cliques.invalid(cliques.maximal(_nodes(s, d), e(s, d)), e(s, d)),
         "clique_faults_found": lambda s, d: (lambda w: w.select(F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "a", "b"))(cliques.invalid(cliques.maximal(_nodes(s, d), _both(e(s, d))), e(s, d))),
-        "disjoint_cliques": lambda s, d: cliques.disjoint(cliques.maximal(_nodes(s, d), e(s, d))),
+        "disjoint_cliques": lambda s, d: _named(cliques.disjoint(cliques.maximal(_nodes(s, d), e(s, d)))),
         "clique_summary": lambda s, d: cliques.summary(cliques.maximal(_nodes(s, d), e(s, d))),
         "compact_remap": lambda s, d: cliques.compacted(*_compact(s, d)),
         "compact_search": _compact_search,
@@ -258,8 +258,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "distance_matrix": lambda s, d: knn.within(vectors(s, d), float("inf")),
         "nearest_edges": lambda s, d: graphs.nearest_linked(graphs.shortest(e(s, d), 3), e(s, d).where("pos = 0")),
         "alpha_sets": lambda s, d: prune.alpha_sets(e(s, d), vectors(s, d), 1.05),
-        "semi_greedy_prune": lambda s, d: prune.pruned(e(s, d), vectors(s, d), choose=prune.set_cover),
-        "incremental_greedy": lambda s, d: prune.pruned(e(s, d), vectors(s, d), choose=prune.voted),
+        "semi_greedy_prune": lambda s, d: prune.pruned(e(s, d), vectors(s, d), choose=prune.set_cover).select("src", F.posexplode("nbrs").alias("pos", "dst")),
+        "incremental_greedy": lambda s, d: prune.pruned(e(s, d), vectors(s, d), choose=prune.voted).select("src", F.posexplode("nbrs").alias("pos", "dst")),
         "greedy_walk": lambda s, d: _knn_graph(s, d).greedy(asked(s, d)).select("qid", "step", "id", "dist"),
         "visited_recall": _visited_recall,
         "pareto_front": lambda s, d: curves.pareto(s.read.parquet(f"{d}/part.parquet"), "p_size", "p_retailprice", ("p_brand",)),
@@ -354,12 +354,22 @@ def _cliques(links: str) -> str:
     x AS (SELECT members FROM r WHERE len(common) = 0)"""
 
 
-_ADJ = f"a AS (SELECT src, list(dst ORDER BY pos) AS nbrs FROM e GROUP BY src), dl AS (SELECT q.qid, list({_l2('q.qvec', 'v.vec')} ORDER BY v.id) AS ds FROM q, v GROUP BY q.qid)"
+_DIST = f"dl AS (SELECT q.qid, list({_l2('q.qvec', 'v.vec')} ORDER BY v.id) AS ds FROM q, v GROUP BY q.qid)"
+_ADJ = f"a AS (SELECT src, list(dst ORDER BY pos) AS nbrs FROM e GROUP BY src), {_DIST}"
+#: Common table expressions: the disjoint cliques that a pass from the largest keeps (dj), their posting lists (pl) and the compacted edges (ce).
+_COMPACT = f"""{_MUTUAL}, {_cliques('m')}, o AS MATERIALIZED (SELECT members, row_number() OVER (ORDER BY len(members) DESC, members) AS rn FROM (SELECT DISTINCT members FROM x)),
+    f AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS used, []::BIGINT[] AS members, false AS ok UNION ALL
+    SELECT o.rn, CASE WHEN list_has_any(f.used, o.members) THEN f.used ELSE list_concat(f.used, o.members) END, o.members, NOT list_has_any(f.used, o.members) FROM f JOIN o ON o.rn = f.rn + 1),
+    dj AS MATERIALIZED (SELECT members FROM f WHERE ok),
+    pl AS MATERIALIZED (SELECT * FROM (SELECT members[1] AS rep, unnest(members) AS member FROM dj) WHERE rep <> member),
+    ce AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT e.src, coalesce(pl.rep, e.dst) AS dst FROM e LEFT JOIN pl ON pl.member = e.dst) WHERE src <> dst AND src NOT IN (SELECT member FROM pl))"""
+#: The compacted lists in place of the graph's own; a node without edges has an empty one.
+_COMPACT_ADJ = f"{_COMPACT}, a AS MATERIALIZED (SELECT v.id AS src, coalesce(list(ce.dst ORDER BY ce.dst) FILTER (ce.dst IS NOT NULL), []) AS nbrs FROM v LEFT JOIN ce ON ce.src = v.id GROUP BY v.id), {_DIST}"
 
 
-def _beam(width: int) -> str:
+def _beam(width: int, lists: str = _ADJ) -> str:
     """Common table expressions ending in w (qid, step, expanded, beam, visited): a beam search from row 0, one row a step; ids have no gaps."""
-    return f"""WITH RECURSIVE {_V}, {_Q}, {_EDGES}, {_ADJ},
+    return f"""WITH RECURSIVE {_V}, {_Q}, {_EDGES}, {lists},
     w AS (SELECT qid, -1 AS step, NULL::BIGINT AS expanded, [{{'d': ds[1], 'id': 0::BIGINT}}] AS beam, []::BIGINT[] AS visited, [0::BIGINT] AS seen, 0::BIGINT AS cur FROM dl UNION ALL
     SELECT qid, step + 1, cur, beam, visited, seen, list_filter(beam, lambda z: NOT list_contains(visited, z.id))[1].id FROM (
     SELECT qid, step, cur, list_sort(list_concat(beam, list_transform(new, lambda n: {{'d': ds[n + 1], 'id': n}})))[1:{width}] AS beam, list_append(visited, cur) AS visited, list_concat(seen, new) AS seen FROM (
@@ -376,6 +386,46 @@ def _prune_sql(alpha: float, bound: int) -> str:
     SELECT k.src, k.pos::INT AS pos, o.dst FROM k JOIN o ON o.src = k.src AND o.pos = k.p"""
 
 
+def _compact_beam(among: str) -> str:
+    """Common table expressions ending in h (qid, id): what a search of the compacted graph saw, with its posting lists unless only primary points count."""
+    seen = "visited" if among == "visited" else "list_transform(beam, lambda z: z.id)"
+    own = f"h0 AS (SELECT qid, unnest({seen}) AS id FROM w WHERE cur IS NULL)"
+    more = "SELECT qid, id FROM h0" + ("" if among == "primary" else " UNION SELECT h0.qid, pl.member FROM h0 JOIN pl ON pl.rep = h0.id")
+    return f"{_beam(40, _COMPACT_ADJ)}, {own}, h AS ({more})"
+
+
+_COMPACT_PRUNED = f"""WITH RECURSIVE {_V}, {_EDGES}, {_COMPACT},
+    cm AS (SELECT DISTINCT coalesce(pl.rep, e.src) AS src, e.dst FROM e LEFT JOIN pl ON pl.member = e.src),
+    cd AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, dst) - 1 AS pos FROM (SELECT cm.src, cm.dst, b.vec, {_l2('a.vec', 'b.vec')} AS d FROM cm JOIN v a ON a.id = cm.src JOIN v b ON b.id = cm.dst WHERE cm.src <> cm.dst)),
+    dm AS MATERIALIZED (SELECT x.src, x.pos, x.dst, coalesce(list(y.pos) FILTER (y.pos IS NOT NULL AND 1.2 * {_l2('y.vec', 'x.vec')} < x.d), []) AS dom FROM cd x LEFT JOIN cd y ON y.src = x.src AND y.pos < x.pos GROUP BY x.src, x.pos, x.dst),
+    kf AS (SELECT DISTINCT src, -1::BIGINT AS n, []::BIGINT[] AS kept FROM cd UNION ALL
+    SELECT kf.src, kf.n + 1, CASE WHEN list_has_any(kf.kept, dm.dom) THEN kf.kept ELSE list_append(kf.kept, dm.pos) END FROM kf JOIN dm ON dm.src = kf.src AND dm.pos = kf.n + 1),
+    kk AS (SELECT src, unnest(arg_max(kept, n)) AS pos FROM kf GROUP BY src)
+    SELECT DISTINCT src, dst FROM (SELECT kk.src, coalesce(pl.rep, cd.dst) AS dst FROM kk JOIN cd ON cd.src = kk.src AND cd.pos = kk.pos LEFT JOIN pl ON pl.member = cd.dst) WHERE src <> dst"""
+
+
+def _chosen_sql(itself: bool, fold: str) -> str:
+    """Neighbours chosen among each row's DEGREE candidates (places from 1 in the order of ids, what each covers in covs) by the fold ``g``, which ends with empty ``lft``."""
+    mine = "true" if itself else "false"
+    return f"""WITH RECURSIVE {_V}, {_EDGES}, cp AS MATERIALIZED (SELECT src, dst, d, vec, row_number() OVER (PARTITION BY src ORDER BY dst) AS p FROM e JOIN v ON v.id = e.dst),
+    cv AS (SELECT a.src, a.p, a.dst, coalesce(list(b.p ORDER BY b.p) FILTER (CASE WHEN a.p = b.p THEN {mine} ELSE {_l2('a.vec', 'b.vec')} < b.d END), []) AS cov FROM cp a JOIN cp b ON b.src = a.src GROUP BY a.src, a.p, a.dst),
+    cl AS MATERIALIZED (SELECT src, list(cov ORDER BY p) AS covs, list(dst ORDER BY p) AS dsts FROM cv GROUP BY src), {fold}
+    SELECT src, (k - 1)::INT AS pos, dsts[kept[k]] AS dst FROM (SELECT g.src, g.kept, cl.dsts, unnest(range(1, len(g.kept) + 1)) AS k FROM g JOIN cl ON cl.src = g.src WHERE g.done)"""
+
+
+_SET_COVER = f"""g AS (SELECT src, range(1, {DEGREE + 1}) AS lft, []::BIGINT[] AS kept, false AS done FROM cl UNION ALL
+    SELECT src, rest, list_append(kept, n), len(rest) = 0 FROM (SELECT *, list_filter(lft, lambda z: z <> n AND NOT list_contains(covs[n], z)) AS rest FROM (
+    SELECT g.src, g.lft, g.kept, cl.covs, list_sort(list_transform(g.lft, lambda p: {{'g': -len(list_intersect(cl.covs[p], g.lft)), 'p': p}}))[1].p AS n FROM g JOIN cl ON cl.src = g.src WHERE NOT g.done)))"""
+#: One voter a step in the shuffled order; after the last, one candidate is kept a step until no voter is left.
+_VOTED = f"""g AS (SELECT src, 0 AS i, []::BIGINT[] AS lft, []::BIGINT[] AS kept, false AS done FROM cl UNION ALL
+    SELECT src, i + 1, rest, CASE WHEN hit THEN list_append(kept, best.p) ELSE kept END, i + 1 >= {DEGREE} AND len(rest) = 0 FROM (
+    SELECT *, CASE WHEN hit THEN list_filter(w, lambda z: NOT list_contains(covs[best.p], z)) ELSE w END AS rest FROM (
+    SELECT *, CASE WHEN i < {DEGREE} THEN len(w) > len(lft) AND -best.g >= {max(1, round(math.log(DEGREE)))} ELSE true END AS hit FROM (
+    SELECT *, list_sort(list_transform(range(1, {DEGREE + 1}), lambda p: {{'g': -len(list_intersect(covs[p], w)), 'p': p}}))[1] AS best FROM (
+    SELECT *, CASE WHEN i < {DEGREE} AND len(list_filter(kept, lambda k: list_contains(covs[k], voter))) = 0 THEN list_append(lft, voter) ELSE lft END AS w FROM (
+    SELECT g.src, g.i, g.lft, g.kept, cl.covs, list_sort(list_transform(range(1, {DEGREE + 1}), lambda p: {{'h': (p * 2654435761) % 4294967296, 'p': p}}))[g.i + 1].p AS voter FROM g JOIN cl ON cl.src = g.src WHERE NOT g.done))))))"""
+
+
 _WALK = f"""WITH RECURSIVE {_V}, {_Q}, {_EDGES}, {_ADJ},
     p AS (SELECT qid, 0 AS step, 0::BIGINT AS id, [0::BIGINT] AS path, ds FROM dl UNION ALL
     SELECT qid, step + 1, n, list_append(path, n), ds FROM (SELECT p.qid, p.step, p.path, p.ds, list_sort(list_transform(a.nbrs, lambda z: {{'d': p.ds[z + 1], 'id': z}}))[1].id AS n
@@ -451,5 +501,20 @@ def oracle_sql() -> dict[str, str]:
         "stride_sample": f"WITH {_V} SELECT id FROM v WHERE id % 20 = 0",
         "self_recall": f"{top[:-1]}, {probe}, f AS ({ivf_}) SELECT avg((nbr = qid)::INT) AS self_recall FROM f WHERE rank = 0",
     }
+    compact = f"WITH RECURSIVE {_V}, {_Q}, {_EDGES}, {_COMPACT}"
+    found = "SELECT q.qid, q.qvec, v.id, v.vec FROM h JOIN q ON q.qid = h.qid JOIN v ON v.id = h.id"
+    out |= {
+        "disjoint_cliques": f"{compact} SELECT array_to_string(members, ',') AS members FROM dj",
+        "compact_remap": f"{compact} SELECT src, dst FROM ce",
+        "compact_remap_pruned": _COMPACT_PRUNED,
+        "compact_search": f"{_compact_beam('beam')} SELECT qid, id AS nbr, {_l2('qvec', 'vec')} AS dist FROM ({found})",
+        "compact_search_expanded": f"{_compact_beam('beam')} {_top(found, K)}",
+        "compact_search_visited": f"{_compact_beam('visited')} {_top(found, K)}",
+        "compact_search_primary": f"{_compact_beam('primary')} {_top(found, K)}",
+        "compact_exhaustive_primary": f"{compact} {_top('SELECT q.qid, q.qvec, v.id, v.vec FROM q, v WHERE v.id IN (SELECT src FROM ce)', K)}",
+        "compact_exhaustive_secondary": f"{compact} {_top('SELECT q.qid, q.qvec, v.id, v.vec FROM q, v WHERE v.id IN (SELECT member FROM pl)', K)}",
+        "semi_greedy_prune": _chosen_sql(False, _SET_COVER),
+        "incremental_greedy": _chosen_sql(True, _VOTED),
+    }
     out["mean_recall"] = f"SELECT round(avg(recall), 6) AS mean_recall FROM ({out['ivf_recall']})"
     return out
