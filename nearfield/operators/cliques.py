@@ -94,6 +94,24 @@ def posting(cliques: DataFrame) -> DataFrame:
     return rows.where("rep <> member")
 
 
+def nearest_inside(cliques: DataFrame, nearest: DataFrame) -> DataFrame:
+    """One row: the percentage (two decimals) of disjoint cliques that hold the nearest other (``nearest``: src, dst) of their smallest member.
+
+    A clique of one has no nearest inside and counts among all.
+    """
+    own = cliques.where(F.size("members") > 0).select(F.array_min("members").alias("src"), "members")
+    rows = own.join(nearest.select("src", "dst"), "src", "left")
+    inside = (F.size("members") > 1) & F.coalesce(F.array_contains("members", F.col("dst")), F.lit(False))
+    return rows.agg(F.round(F.coalesce(F.avg(inside.cast("int")) * 100.0, F.lit(0.0)), 2).alias("percent"))
+
+
+def points(nodes: DataFrame, compact: DataFrame, lists: DataFrame) -> DataFrame:
+    """One row: all nodes of a compacted graph, those that keep edges, and those in posting lists."""
+    primary = compact.agg(F.countDistinct("src").alias("primary_points"))
+    secondary = lists.agg(F.countDistinct("member").alias("secondary_points"))
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(F.broadcast(primary)).crossJoin(F.broadcast(secondary))
+
+
 def compacted(edges: DataFrame, lists: DataFrame) -> DataFrame:
     """src and dst with every secondary node replaced by its representative; secondaries lose their own edges, loops go."""
     ends = edges.join(lists.select(F.col("member").alias("dst"), "rep"), "dst", "left").select("src", F.coalesce("rep", "dst").alias("dst"))

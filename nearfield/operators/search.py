@@ -59,11 +59,18 @@ def beam_search(q: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray], start: int
             return walk
 
 
-def greedy_walk(q: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray], start: int, most: int = 20, near: float = 0.01) -> list[int]:
-    """Steps to the neighbour nearest to the query, even a farther one, until one is on the path, or within ``near``."""
+def greedy_walk(q: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray], start: int, most: int = 20, near: float = 0.01, skip_path: bool = False) -> list[int]:
+    """Steps to the neighbour nearest to the query, even a farther one, until one is on the path, or within ``near``.
+
+    With ``skip_path``, neighbours on the path don't count, and the walk ends where none is left.
+    """
     path = [start]
     while len(path) <= most and float(pair_distances("euclidean", x[[path[-1]]], q[None, :])[0]) >= near and len(nbrs[path[-1]]):
         own = np.asarray(nbrs[path[-1]], int)
+        if skip_path:
+            own = own[~np.isin(own, path)]
+            if not len(own):
+                break
         nxt = int(own[pair_distances("euclidean", x[own], q[None, :]).argmin()])
         if nxt in path:
             break
@@ -71,6 +78,22 @@ def greedy_walk(q: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray], start: int
     return path
 
 
+def path_to(target: int, x: np.ndarray, nbrs: list[np.ndarray], start: int, most: int = 10_000) -> list[int]:
+    """Steps to the neighbour nearest to the target, each strictly nearer; a neighbour that is the target is taken at once."""
+    path, d = [start], float(pair_distances("squared_euclidean", x[[start]], x[[target]])[0])
+    while path[-1] != target and len(path) <= most and len(nbrs[path[-1]]):
+        own = np.asarray(nbrs[path[-1]], int)
+        if target in own:
+            path.append(target)
+            break
+        near = pair_distances("squared_euclidean", x[own], x[[target]])
+        if not near.min() < d:
+            break
+        d = float(near.min())
+        path.append(int(own[near.argmin()]))
+    return path
+
+
 def vamana(x: np.ndarray, alpha: float = 1.01, bound: int = 8, beam: int = 100, limit: int = 500, root: int = 0, seed: int = 41901) -> list[np.ndarray]:
     """Neighbour lists built by inserting one row after the other, in a random order."""
     nbrs = [np.zeros(0, int) for _ in x]
@@ -139,17 +162,27 @@ class Graph:
 
         return self._each(queries, answer, ["beam", "visited", "steps", "compared"], "beam array<struct<id:long,dist:double>>, visited array<struct<id:long,dist:double>>, steps array<struct<expanded:long,beam:array<long>>>, compared long")
 
-    def greedy(self, queries: DataFrame, most: int = 20, near: float = 0.01) -> DataFrame:
+    def greedy(self, queries: DataFrame, most: int = 20, near: float = 0.01, skip_path: bool = False) -> DataFrame:
         """qid, shard, step, id and dist of a greedy walk in each shard."""
         entry = pa.list_(pa.struct([("id", pa.int64()), ("dist", pa.float64())]))
 
         def answer(q: np.ndarray, ids: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray]) -> list[pa.Array]:
-            path = greedy_walk(q, x, nbrs, 0, most, near)
+            path = greedy_walk(q, x, nbrs, 0, most, near, skip_path)
             return [pa.array([[{"id": int(ids[n]), "dist": float(d)} for n, d in zip(path, exact(x[path], q), strict=True)]], entry)]
 
         walks = self._each(queries, answer, ["path"], "path array<struct<id:long,dist:double>>")
         return walks.select("qid", "shard", F.posexplode("path").alias("step", "e")).select("qid", "shard", "step", F.col("e.id").alias("id"), F.col("e.dist").alias("dist"))
 
+    def paths(self, queries: DataFrame, most: int = 10_000) -> DataFrame:
+        """qid, shard, step, src and dst: the edges walked in each shard to the node nearest to the query, ever nearer."""
+
+        def answer(q: np.ndarray, ids: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray]) -> list[pa.Array]:
+            path = path_to(int(exact(x, q).argmin()), x, nbrs, 0, most) if len(x) else []
+            return [pa.array([ids[path].tolist()], pa.list_(pa.int64()))]
+
+        walks = self._each(queries, answer, ["path"], "path array<long>")
+        return walks.select("qid", "shard", F.posexplode(F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0)))).alias("step", "dst"), "path").select("qid", "shard", "step", F.get("path", F.col("step")).alias("src"), "dst")
+
     def search(self, queries: DataFrame, k: int, width: int = 10, limit: int | None = None, among: str = "beam") -> DataFrame:
         """qid, rank, nbr and dist of the k nearest that the searches of all shards found."""
         hits = self.walks(queries, width, limit).select("qid", F.explode(among).alias("e")).select("qid", F.col("e.id").alias("nbr"), F.col("e.dist").alias("dist")).distinct()

@@ -13,9 +13,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import curves
+from ..functions import curves, report
 from ..functions import vectors as V
-from ..operators import cliques, clustering, edits, graphs, ivf, knn, prune, search, tree
+from ..operators import cliques, clustering, duplicates, edits, graphs, ivf, knn, prune, search, tree
 
 K = 10
 CENTROIDS = 8
@@ -198,6 +198,26 @@ def _reversed(s: SparkSession, d: str) -> DataFrame:
     return edits.permuted(v, order).select("id", F.get("vec", F.lit(0)).cast("double").alias("x"))
 
 
+def _rank_trace(s: SparkSession, d: str) -> DataFrame:
+    """The rank among all rows of every entry of the beam, step by step."""
+    steps = _knn_graph(s, d).walks(asked(s, d), 10).select("qid", F.posexplode("steps").alias("step", "s")).select("qid", "step", F.posexplode("s.beam").alias("pos", "nbr"))
+    rank = knn.ranks(steps, asked(s, d), vectors(s, d))
+    return steps.join(rank, ["qid", "nbr"]).select("qid", "step", "pos", "nbr", "rank", F.round(edits.log_rank(F.col("rank")), 6).alias("log_rank"))
+
+
+def _fronts(s: SparkSession, d: str) -> DataFrame:
+    """Parts as a sweep: for each brand the front of size against price, with the brand's name in a report."""
+    front = curves.pareto(s.read.parquet(f"{d}/part.parquet"), "p_size", "p_retailprice", ("p_brand",), x_up=False)
+    return front.select(report.label(F.col("p_brand"), {"Brand#11": "first brand"}).alias("brand"), "p_size", "p_retailprice", report.local_time(F.col("p_size") * 86400).alias("day"))
+
+
+def _inner_subset(s: SparkSession, d: str) -> DataFrame:
+    """Of every third row, every second."""
+    outer = vectors(s, d).where("id % 3 = 0").select((F.col("id") / 3).cast("long").alias("sub_id"), "id")
+    inner = outer.where("sub_id % 2 = 0").select((F.col("sub_id") / 2).cast("long").alias("new_id"), "sub_id")
+    return knn.subset(vectors(s, d), knn.further_subset(outer, inner)).select("sub_id", "id", F.get("vec", F.lit(0)).cast("double").alias("x"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     e = neighbour_edges
     flat = lambda df: df.select("src", "pos", "dst", "d")
@@ -264,6 +284,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "visited_recall": _visited_recall,
         "pareto_front": lambda s, d: curves.pareto(s.read.parquet(f"{d}/part.parquet"), "p_size", "p_retailprice", ("p_brand",)),
         "hilbert_order": _hilbert,
+        "greedy_walk_new": lambda s, d: _knn_graph(s, d).greedy(asked(s, d), skip_path=True).select("qid", "step", "id", "dist"),
+        "greedy_path": lambda s, d: _knn_graph(s, d).paths(asked(s, d)).select("qid", "step", "src", "dst"),
+        "rank_trace": _rank_trace,
+        "beam_comparisons": lambda s, d: _knn_graph(s, d).walks(asked(s, d), 20).select("qid", "compared"),
+        "representatives_with_nearest": lambda s, d: cliques.nearest_inside(cliques.disjoint(cliques.maximal(_nodes(s, d), e(s, d))), e(s, d).where("pos = 0")),
+        "compact_points": lambda s, d: (lambda g, lists: cliques.points(_nodes(s, d), cliques.compacted(g, lists), lists))(*_compact(s, d)),
+        "duplicate_groups_pivots": lambda s, d: duplicates.groups(vectors(s, d), RADIUS),
+        "duplicate_totals": lambda s, d: duplicates.totals(duplicates.groups(vectors(s, d), RADIUS), vectors(s, d)),
+        "inner_subset": _inner_subset,
+        "report_fronts": _fronts,
         "graph_empty": lambda s, d: edits.empty_graph(_nodes(s, d)).select("src", F.size("nbrs").alias("degree")),
         "graph_edited": lambda s, d: graphs.edges_of(_edited(s, d)),
         "graph_mapped": lambda s, d: graphs.edges_of(edits.mapped(_adj(s, d), lambda _, nbrs: F.reverse(nbrs))),
@@ -354,8 +384,8 @@ def _cliques(links: str) -> str:
     x AS (SELECT members FROM r WHERE len(common) = 0)"""
 
 
-_DIST = f"dl AS (SELECT q.qid, list({_l2('q.qvec', 'v.vec')} ORDER BY v.id) AS ds FROM q, v GROUP BY q.qid)"
-_ADJ = f"a AS (SELECT src, list(dst ORDER BY pos) AS nbrs FROM e GROUP BY src), {_DIST}"
+_DIST = f"dl AS MATERIALIZED (SELECT q.qid, list({_l2('q.qvec', 'v.vec')} ORDER BY v.id) AS ds FROM q, v GROUP BY q.qid)"
+_ADJ = f"a AS MATERIALIZED (SELECT src, list(dst ORDER BY pos) AS nbrs FROM e GROUP BY src), {_DIST}"
 #: Common table expressions: the disjoint cliques that a pass from the largest keeps (dj), their posting lists (pl) and the compacted edges (ce).
 _COMPACT = f"""{_MUTUAL}, {_cliques('m')}, o AS MATERIALIZED (SELECT members, row_number() OVER (ORDER BY len(members) DESC, members) AS rn FROM (SELECT DISTINCT members FROM x)),
     f AS (SELECT 0::BIGINT AS rn, []::BIGINT[] AS used, []::BIGINT[] AS members, false AS ok UNION ALL
@@ -433,6 +463,20 @@ _WALK = f"""WITH RECURSIVE {_V}, {_Q}, {_EDGES}, {_ADJ},
     SELECT qid, step, id, ds[id + 1] AS dist FROM p"""
 
 
+#: As the walk above, but neighbours on the path don't count.
+_WALK_NEW = f"""WITH RECURSIVE {_V}, {_Q}, {_EDGES}, {_ADJ},
+    p AS (SELECT qid, 0 AS step, 0::BIGINT AS id, [0::BIGINT] AS path, ds FROM dl UNION ALL
+    SELECT qid, step + 1, n, list_append(path, n), ds FROM (SELECT p.qid, p.step, p.path, p.ds, list_sort(list_transform(list_filter(a.nbrs, lambda z: NOT list_contains(p.path, z)), lambda z: {{'d': p.ds[z + 1], 'id': z}}))[1].id AS n
+    FROM p JOIN a ON a.src = p.id WHERE len(p.path) <= 20 AND p.ds[p.id + 1] >= 0.01) WHERE n IS NOT NULL)
+    SELECT qid, step, id, ds[id + 1] AS dist FROM p"""
+#: Queries are rows, so that the target is the query's own row.
+_PATH = f"""WITH RECURSIVE {_V}, {_Q}, {_EDGES}, {_ADJ},
+    p AS (SELECT qid, -1 AS step, NULL::BIGINT AS src, 0::BIGINT AS id, ds FROM dl UNION ALL
+    SELECT qid, step + 1, id, n, ds FROM (SELECT p.qid, p.step, p.id, p.ds, CASE WHEN list_contains(a.nbrs, p.qid) THEN p.qid ELSE list_sort(list_transform(a.nbrs, lambda z: {{'d': p.ds[z + 1], 'id': z}}))[1].id END AS n
+    FROM p JOIN a ON a.src = p.id WHERE p.id <> p.qid) WHERE ds[n + 1] < ds[id + 1])
+    SELECT qid, step, src, id AS dst FROM p WHERE step >= 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     every = "SELECT q.qid, q.qvec, v.id, v.vec FROM q, v"
     top = f"WITH {_V}, {_Q} "
@@ -516,5 +560,18 @@ def oracle_sql() -> dict[str, str]:
         "semi_greedy_prune": _chosen_sql(False, _SET_COVER),
         "incremental_greedy": _chosen_sql(True, _VOTED),
     }
+    groups = out["duplicate_groups"]
+    out |= {
+        "greedy_walk_new": _WALK_NEW,
+        "greedy_path": _PATH,
+        "rank_trace": f"{_beam(10)}, b AS (SELECT qid, step, unnest(range(len(beam))) AS pos, unnest(list_transform(beam, lambda z: z.id)) AS nbr FROM w WHERE step >= 0), k AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY d, id) - 1 AS rank FROM (SELECT q.qid, v.id, {_l2('q.qvec', 'v.vec')} AS d FROM q, v)) SELECT b.qid, b.step, b.pos::INT AS pos, b.nbr, k.rank, round(ln(k.rank + 1), 6) AS log_rank FROM b JOIN k ON k.qid = b.qid AND k.id = b.nbr",
+        "beam_comparisons": f"{_beam(20)} SELECT qid, len(seen)::BIGINT AS compared FROM w WHERE cur IS NULL",
+        "representatives_with_nearest": f"{compact} SELECT round(100.0 * avg(CASE WHEN len(members) > 1 AND list_contains(members, e.dst) THEN 1 ELSE 0 END), 2)::DOUBLE AS percent FROM dj JOIN e ON e.src = members[1] AND e.pos = 0",
+        "compact_points": f"{compact} SELECT (SELECT count(*) FROM v) AS nodes, (SELECT count(DISTINCT src) FROM ce) AS primary_points, (SELECT count(*) FROM pl) AS secondary_points",
+        "duplicate_groups_pivots": groups,
+        "duplicate_totals": f"SELECT count(DISTINCT component) AS sets, count(*) AS members, round(100.0 * count(*) / (SELECT count(*) FROM embeddings), 2)::DOUBLE AS percent FROM ({groups})",
+        "inner_subset": f"WITH {_V} SELECT id // 6 AS sub_id, id, vec[1]::DOUBLE AS x FROM v WHERE id % 6 = 0",
+        "report_fronts": "SELECT CASE WHEN p_brand = 'Brand#11' THEN 'first brand' ELSE p_brand END AS brand, p_size, p_retailprice, strftime(make_timestamp(p_size::BIGINT * 86400000000), '%Y-%m-%d %H:%M:%S') AS day FROM (SELECT p_brand, p_size, max(p_retailprice) AS p_retailprice FROM part GROUP BY ALL) a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_size < a.p_size AND b.p_retailprice >= a.p_retailprice)",
+    }
     out["mean_recall"] = f"SELECT round(avg(recall), 6) AS mean_recall FROM ({out['ivf_recall']})"
     return out
