@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import metric as metric_of
+from ..functions.vectors import recall
 
 
 class Index(Protocol):
@@ -104,6 +105,13 @@ def sampled(rows: DataFrame, k: int, seed: int = 0, key: str = "id") -> DataFram
     return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(k)
 
 
+def recalls(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """qid and recall of every query of the ground truth; both have qid, rank and nbr."""
+    listed = lambda df, name: df.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "nbr"))), lambda x: x["nbr"]).alias(name))
+    both = listed(truth, "truth").join(listed(found, "found"), "qid", "left")
+    return both.select("qid", recall(F.coalesce("found", F.array().cast("array<long>")), F.col("truth")).alias("recall"))
+
+
 def mean_recall(per_query: DataFrame) -> DataFrame:
     """One row: the mean of ``recall`` over all queries, to six decimals."""
     return per_query.agg(F.round(F.avg("recall"), 6).alias("mean_recall"))

@@ -149,13 +149,14 @@ class Graph:
             parts = part if parts is None else parts.unionByName(part)
         return parts
 
-    def walks(self, queries: DataFrame, width: int, limit: int | None = None) -> DataFrame:
-        """qid, shard, beam and visited (lists of id and dist), steps (expanded, beam) and compared."""
+    def walks(self, queries: DataFrame, width: int, limit: int | None = None, start: int | None = None) -> DataFrame:
+        """qid, shard, beam and visited (lists of id and dist), steps (expanded, beam) and compared; from ``start`` in the shards that have it, else from the first node."""
         entry = pa.list_(pa.struct([("id", pa.int64()), ("dist", pa.float64())]))
         step = pa.list_(pa.struct([("expanded", pa.int64()), ("beam", pa.list_(pa.int64()))]))
 
         def answer(q: np.ndarray, ids: np.ndarray, x: np.ndarray, nbrs: list[np.ndarray]) -> list[pa.Array]:
-            w = beam_search(q, x, nbrs, 0, width, limit)
+            at = np.flatnonzero(ids == start)
+            w = beam_search(q, x, nbrs, int(at[0]) if len(at) else 0, width, limit)
             named = lambda es: [{"id": int(ids[n]), "dist": d} for n, d in es]
             steps = [{"expanded": int(ids[e]), "beam": ids[s].tolist()} for e, s in w.steps]
             return [pa.array([named(w.beam)], entry), pa.array([named(w.visited)], entry), pa.array([steps], step), pa.array([w.compared])]

@@ -60,12 +60,6 @@ def _pairs(metric: str) -> Callable:
     return run
 
 
-def _recall(found: DataFrame, truth: DataFrame) -> DataFrame:
-    listed = lambda df, name: df.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "nbr"))), lambda x: x["nbr"]).alias(name))
-    both = listed(truth, "truth").join(listed(found, "found"), "qid", "left")
-    return both.select("qid", V.recall(F.coalesce("found", F.array().cast("array<long>")), F.col("truth")).alias("recall"))
-
-
 def two_level_tree(s: SparkSession, d: str) -> tree.Tree:
     """Roots are rows 0 to 3; leaves rows 4 to 19 under their nearest root, with the rows nearest to them."""
     v, c = vectors(s, d), first_rows(s, d, 20)
@@ -239,7 +233,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmeans_step": lambda s, d: _kmeans(s, d, 1),
         "kmeans_three_steps": lambda s, d: _kmeans(s, d, 3),
         "ivf_search": lambda s, d: ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2),
-        "ivf_recall": lambda s, d: _recall(ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2), knn.knn(asked(s, d), vectors(s, d), K)),
+        "ivf_recall": lambda s, d: edits.recalls(ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2), knn.knn(asked(s, d), vectors(s, d), K)),
         "kmt_search_beam": lambda s, d: two_level_tree(s, d).search(asked(s, d), K, 3),
         "kmt_search_path": lambda s, d: two_level_tree(s, d).search(asked(s, d), K, 1),
         "kmt_partition_of": lambda s, d: two_level_tree(s, d).partition_of(vectors(s, d)),
@@ -305,8 +299,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "distance_lookup": lambda s, d: edits.distance_of(knn.within(vectors(s, d), float("inf")), asked(s, d).select(F.col("qid").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("j"))),
         "permuted_rows": _reversed,
         "stride_sample": lambda s, d: edits.strided(_nodes(s, d), 20),
-        "mean_recall": lambda s, d: edits.mean_recall(_recall(ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2), knn.knn(asked(s, d), vectors(s, d), K))),
-        "self_recall": lambda s, d: edits.self_recall(ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2)),
+        "mean_recall": lambda s, d: edits.mean_recall(edits.recalls(ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2), knn.knn(asked(s, d), vectors(s, d), K))),
+        "self_recall": lambda s, d: edits.selfedits.recalls(ivf.from_centroids(vectors(s, d), first_rows(s, d)).search(asked(s, d), K, 2)),
         "exact_duplicates": lambda s, d: s.read.parquet(f"{d}/part.parquet").groupBy("p_size", "p_retailprice").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1"),
     }
 
