@@ -135,17 +135,18 @@ def scaling_sweep(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 def compact(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Every source of cliques by every way to compact, one row each, as CSV and Markdown."""
-    base = _base(spark, a)
+    base = _base(spark, a).cache()
     adj = local.read_graph(spark, a.graph).cache()
     e, nodes = graphs.edges_of(adj).cache(), adj.select(F.col("src").alias("id"))
     both = e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    near = knn.knn(_queries(base), base, 1, skip_self=True).select(F.col("qid").alias("src"), F.col("nbr").alias("dst"))
+    near = knn.knn(_queries(base), base, 1, skip_self=True).select(F.col("qid").alias("src"), F.col("nbr").alias("dst")).cache()
     rows = None
     for source, linked in (("mutual", e), ("either", both), ("copies", None)):
         if linked is not None:
             groups = cliques.disjoint(cliques.maximal(nodes, linked))
         else:
             groups = duplicates.groups(base, a.radius).groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("members")).select("members")
+        groups = groups.cache()
         lists = cliques.posting(groups).cache()
         inside = cliques.nearest_inside(groups, near).first()["percent"]
         for how, kept in (("none", e.select("src", "dst")), ("plain", cliques.compacted(e, lists)), ("pruned", cliques.compacted_pruned(e, lists, base, a.alpha))):
