@@ -2,29 +2,28 @@
 
 Exact copies are grouped first, so that a heap of them is one row.  The
 distances of two rows to any pivot differ by no more than the rows' own
-distance: rows nearer than the radius lie in the same or neighbouring rings
-around every pivot, and only those are compared.  Nothing is lost, whatever the
-pivots.  Rings are as wide as the radius, so this pays where the radius is small
-beside the spread of the rows; ``knn.within`` compares everything.
+distance: only rows whose distances to every pivot differ by less than the
+radius are compared.  Nothing is lost, whatever the pivots.  This pays where the
+radius is small beside the spread of the rows; ``knn.within`` without pivots
+compares everything.
 """
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import euclidean
+from . import knn
 from .edits import sampled
 from .graphs import components
 
-#: Room in a ring for the rounding of its distances.
-_SLACK = 1.01
-
 
-def _literal(vec: list[float]) -> Column:
-    return F.array(*[F.lit(float(x)) for x in vec])
+def _around(rows: DataFrame, radius: float, pivots: int, seed: int) -> list[np.ndarray]:
+    """Vectors of a few rows, as pivots."""
+    if not radius > 0:
+        raise ValueError("the radius must be above 0")
+    return [np.array(r["vec"], float) for r in sampled(rows, pivots, seed).collect()]
 
 
 def near_pairs(vectors: DataFrame, radius: float, pivots: int = 3, seed: int = 0) -> DataFrame:
@@ -33,21 +32,8 @@ def near_pairs(vectors: DataFrame, radius: float, pivots: int = 3, seed: int = 0
     Null vectors are near nothing; vectors must be unlike each other, as copies
     of one would all meet.
     """
-    if not radius > 0:
-        raise ValueError("the radius must be above 0")
     rows = vectors.where("vec is not null").select("id", "vec")
-    around = [r["vec"] for r in sampled(rows, pivots, seed).collect()]  # a few rows
-    if not around:
-        return rows.sparkSession.createDataFrame([], "i long, j long, d double")
-    to = rows.select("id", "vec", *[euclidean(F.col("vec"), _literal(p)).alias(f"_p{k}") for k, p in enumerate(around)])
-    far = to.agg(F.max(F.greatest(*[F.col(f"_p{k}") for k in range(len(around))], F.lit(0.0)))).first()[0]
-    width = radius * _SLACK + 1e-12 * far
-    ring = F.array(*[F.floor(F.col(f"_p{k}") / width) for k in range(len(around))])
-    posted = to.select("id", "vec", ring.alias("ring"))
-    beside = F.array(*[F.array(*[F.lit(o).cast("long") for o in off]) for off in itertools.product((-1, 0, 1), repeat=len(around))])
-    probes = posted.select(F.col("id").alias("i"), F.col("vec").alias("_v"), F.explode(F.transform(beside, lambda off: F.zip_with("ring", off, lambda r, o: r + o))).alias("ring"))
-    met = probes.join(posted, "ring").where("i < id")
-    return met.select("i", F.col("id").alias("j"), euclidean(F.col("_v"), F.col("vec")).alias("d")).where(F.col("d") < radius)
+    return knn.within(rows, radius, _around(rows, radius, pivots, seed))
 
 
 def groups(vectors: DataFrame, radius: float = 1e-9, pivots: int = 3) -> DataFrame:
@@ -55,7 +41,7 @@ def groups(vectors: DataFrame, radius: float = 1e-9, pivots: int = 3) -> DataFra
     rows = vectors.where("vec is not null").select("id", "vec")
     kinds = rows.groupBy("vec").agg(F.min("id").alias("kind"))
     one = kinds.select(F.col("kind").alias("id"), "vec")
-    label = components(one.select("id"), near_pairs(one, radius, pivots)).withColumnRenamed("id", "kind")
+    label = components(one.select("id"), knn.linked(one, radius, _around(one, radius, pivots, 0))).withColumnRenamed("id", "kind")
     each = rows.join(kinds, "vec").select("id", "kind").join(label, "kind").select("id", "component")
     size = each.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
     return each.join(size, "component").select("id", "component", "size")
