@@ -1,9 +1,10 @@
 """Suffix-array dedup: bytes covered by a string of 100 bytes that starts earlier somewhere else.
 
-1. Texts that are copies of earlier ones go as a whole.  Of the others, every 100 bytes hold an anchor: the 32-byte gram of the smallest hash in
-   them.  Equal strings have equal anchors, and of the 68 other bytes 34 or more
-   stand on one side.  So a repeated string lies around an anchor that is
-   repeated with the 34 bytes before it or those after it; a count-min
+1. Texts that are copies of earlier ones go as a whole.  Of the others, every 100
+   bytes hold an anchor: the 32-byte gram of the smallest rank in them, 32 bits
+   of a cheap hash.  Equal strings have equal anchors, and of the 68 other bytes
+   34 or more stand on one side.  So a repeated string lies around an anchor that
+   is repeated with the 34 bytes before it or those after it; a count-min
    prefilter over both (see ``blocks``) leaves those.
 2. The surroundings of an anchor are the bytes of all strings that chose it, 168
    at most.  Their hash goes to the shard of the anchor, equal ones once a
@@ -11,10 +12,11 @@
    the first ones are asked for where others have the same anchor.
 3. The shard of an anchor sorts the suffixes of what it asked for and expands
    intervals of their Burrows-Wheeler transform: breadth first, each string of
-   l bytes is extended backward by every byte before it, and the ends of the
-   intervals that come up first for l + 1 bytes are the places where neighbours
-   share just l bytes.  The expansion stops at 100: neighbours without such a
-   place share 100 bytes, and of those all but the first are repeated.
+   l bytes is extended backward by every byte before it, a run of equal bytes of
+   the transform at a time, and the ends of the intervals that come up first for
+   l + 1 bytes are the places where neighbours share just l bytes.  The expansion
+   stops at 100: neighbours without such a place share 100 bytes, and of those
+   all but the first are repeated.
 4. What is repeated is removed.
 
 An anchor that many blocks have goes another way, which splits it: its strings
@@ -47,8 +49,10 @@ from .common import load, shards_of, written
 LEAST, GRAM = 100, 32
 #: Blocks from which on an anchor's strings are dealt one by one; counters end at 255.
 HOT_BLOCKS = 250
-#: Bytes whose suffixes are sorted at once, unless one anchor has more.
-SORT_BYTES = 1 << 20
+#: Bytes whose suffixes are sorted at once, unless one anchor has more: few, so that they stay in a processor's cache.
+SORT_BYTES = 1 << 17
+#: Places whose grams are ranked at once, for the same reason.
+RANKED = 1 << 15
 #: Bytes that no UTF-8 text has: between strings, and after the last.
 _BETWEEN, _AFTER = 0xFF, 0xFE
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -67,6 +71,11 @@ def _eights(raw: np.ndarray) -> np.ndarray:
     return out[:n]
 
 
+def _loose(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, where there are eight; looked up, not copied."""
+    return np.ndarray(max(len(raw) - 7, 0), "<u8", np.ascontiguousarray(raw), strides=(1,))
+
+
 def _slid(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     """The best of each ``width`` neighbours."""
     have, out = 1, a
@@ -76,53 +85,88 @@ def _slid(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(out[: len(a) - width + 1], out[width - have : width - have + len(a) - width + 1])
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(place, hash, from, to) of the anchors, grams of the smallest hash in some ``least`` bytes of one document.
+def _ranks(eights: np.ndarray, gram: int) -> np.ndarray:
+    """A number above 0 for the gram at each place, of its bytes alone; grams of one rank need not be equal."""
+    x = np.zeros(len(eights) - gram + 1, np.uint64)
+    for k in range(gram // 8):
+        x += eights[8 * k : 8 * k + len(x)] * _M[k % len(_M)]
+    x ^= x >> np.uint64(32)
+    x *= _M[0]
+    x >>= np.uint64(32)
+    return x.astype(np.uint32) | np.uint32(1)
+
+
+def _hashed(eights: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+    """One hash for each row of places in ``eights``, of the bytes there."""
+    h = np.zeros(len(at[0]), np.uint64)
+    for k, i in enumerate(at):
+        h += tk.mixed(eights[i] ^ _M[k // len(_M)]) * _M[k % len(_M)]
+    return tk.mixed(h) | np.uint64(1)
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, ``size`` of them."""
+    return np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+
+
+def anchors(raw: np.ndarray, off: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, from, to) of the anchors, grams of the smallest rank in some ``least`` bytes of one document.
 
     The strings that chose an anchor start at ``from`` to ``to``; a string in
-    which the smallest hash comes up twice chooses both.
+    which the smallest rank comes up twice chooses both.
     """
     n, span = len(raw), least - gram + 1
     if n < least:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
-    eights = tk.mixed(_eights(raw))
-    h = np.zeros(n - gram + 1, np.uint64)
-    for k in range(gram // 8):
-        h += eights[8 * k : 8 * k + len(h)] * _M[k % len(_M)]
-    h = tk.mixed(h) | np.uint64(1)
-    low = _slid(h, span, np.minimum)
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    rank, low = np.empty(n - gram + 1, np.uint32), np.empty(n - least + 1, np.uint32)
+    for i in range(0, len(low), RANKED):
+        part = _ranks(_eights(raw[i : i + RANKED + least - 1]), gram)
+        rank[i : i + len(part)] = part
+        low[i : i + RANKED] = _slid(part, span, np.minimum)
     # strings that cross documents choose no anchor
-    ends = np.repeat(off[1:], np.diff(off))[: len(low)]
-    low = np.where(np.arange(len(low)) + least <= ends, low, np.uint64(0))
-    wide = np.concatenate([np.zeros(span - 1, np.uint64), low, np.zeros(span - 1, np.uint64)])
-    place = np.flatnonzero(_slid(wide, span, np.maximum)[: len(h)] == h)
+    ends = np.minimum(off[1:], len(low))
+    begins = np.minimum(np.maximum(off[:-1], off[1:] - least + 1), ends)
+    low[_ranges(begins, ends - begins)] = 0
+    none, found = np.zeros(span - 1, np.uint32), []
+    for i in range(0, len(rank), RANKED):
+        # the starts of the strings that hold a gram are the span before it
+        near = low[max(i - span + 1, 0) : i + RANKED]
+        near = np.concatenate([none[: max(span - 1 - i, 0)], near, none[: max(min(i + RANKED, len(rank)) - len(low), 0)]])
+        best = _slid(near, span, np.maximum)
+        found.append(np.flatnonzero(best == rank[i : i + RANKED]) + i)
+    place = np.concatenate(found)
     # the run of starts that chose an anchor is one of the few among the span before it
     begin = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     stop = np.append(begin[1:], len(low)) - 1
     run = np.searchsorted(stop, place - span + 1)
     while True:
-        wrong = np.flatnonzero(low[begin[run]] != h[place])
+        wrong = np.flatnonzero(low[begin[run]] != rank[place])
         if not len(wrong):
             break
         run[wrong] += 1
-    return place, h[place], np.maximum(begin[run], place - span + 1), np.minimum(stop[run], place)
+    return place, np.maximum(begin[run], place - span + 1), np.minimum(stop[run], place)
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of the ``depth`` bytes from each on, by doubling; the text goes on as _AFTER."""
+    """Places in the order of the ``depth`` bytes from each on, by the ranks of fewer, two or more at a time; the text goes on as _AFTER."""
     n, key, have = len(text), _eights(text), 8
+    bits = np.uint64(n.bit_length())
     while True:
         order = np.argsort(key)
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
         if have >= depth:
             return order
-        step = min(have, depth - have)
-        key = np.full(n, rank[-1])
-        key[:-step] = rank[step:]
-        key |= rank << 32
-        have += step
+        ranked = key[order]
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
+        key, step = rank.copy(), have
+        for _ in range(64 // int(bits) - 1):  # as many ranks as a number holds
+            if have >= depth:
+                break
+            at = min(have, depth - step)
+            key <<= bits
+            key[:-at] |= rank[at:]
+            key[-at:] |= rank[-1]
+            have = at + step
 
 
 def apart(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
@@ -137,29 +181,38 @@ def apart(text: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     to[by_byte] = np.arange(n, dtype=np.int32)
     first = before[by_byte]
     turn = np.concatenate([[False], first[1:] != first[:-1]])
+    # rows of one run keep together
+    runs = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])).astype(np.int32)
+    ends = np.append(runs[1:], np.int32(n))
+    run_of = np.repeat(np.arange(len(runs), dtype=np.int32), ends - runs)
     found = np.zeros(n + 1, bool)
     found[[0, n]] = True
     low, high = np.array([0], np.int32), np.array([n], np.int32)
-    seat = np.empty(n, np.int32)
+    seat, wide = np.empty(n, np.int32), np.empty(n, np.int32)
     for _ in range(least):  # the intervals are those of strings of this many bytes
         if not len(low):
             break
-        size = high - low
-        own = np.repeat(np.arange(len(low), dtype=np.int32), size)
-        rows = np.arange(len(own), dtype=np.int32) + np.repeat(low - (np.cumsum(size, dtype=np.int32) - size), size)
-        t = to[rows]
-        if 8 * len(t) > n:  # many rows are put in order faster by their seats
+        run = run_of[low]
+        count = run_of[high - 1] - run + 1
+        stop = np.cumsum(count, dtype=np.int32)
+        own = np.repeat(np.arange(len(low), dtype=np.int32), count)
+        every = np.arange(len(own), dtype=np.int32) + np.repeat(run - (stop - count), count)
+        row, end = runs[every], ends[every]
+        row[stop - count], end[stop - 1] = low, high  # the first and the last may begin or go on outside
+        t, size = to[row], end - row
+        if 8 * len(t) > n:  # many runs are put in order faster by their seats
             seat.fill(-1)
-            seat[t] = own
+            seat[t], wide[t] = own, size
             t = np.flatnonzero(seat >= 0).astype(np.int32)
-            own = seat[t]
+            own, size = seat[t], wide[t]
         else:
             by = np.argsort(t)
-            t, own = t[by], own[by]
+            t, own, size = t[by], own[by], size[by]
+        end = t + size
         head = np.ones(len(t), bool)
-        head[1:] = (t[1:] != t[:-1] + 1) | (own[1:] != own[:-1]) | turn[t[1:]]
+        head[1:] = (t[1:] != end[:-1]) | (own[1:] != own[:-1]) | turn[t[1:]]
         at = np.flatnonzero(head)
-        begin, end = t[at], t[np.append(at[1:], len(t)) - 1] + 1
+        begin, end = t[at], end[np.append(at[1:], len(t)) - 1]
         new = ~found[end]
         found[end[new]] = True
         low, high = begin[new], end[new]
@@ -224,17 +277,20 @@ def _by_block(kind: int, blk: np.ndarray, columns: dict[str, np.ndarray]) -> lis
 
 def _sides(block: Opened) -> tuple[np.ndarray, ...]:
     """Place, hash, from, to and document of the anchors of texts that are no copies, and the hashes of each with half of the other bytes before and after it, 0 where those end."""
-    place, h, low, high = anchors(block.raw, block.off)
     raw, off = block.raw, block.off
-    own = ~block.copy[np.searchsorted(off, place, side="right") - 1]
-    place, h, low, high = place[own], h[own], low[own], high[own]
-    half = (LEAST - GRAM) // 2
+    place, low, high = anchors(raw, off)
     doc = np.searchsorted(off, place, side="right") - 1
+    own = ~block.copy[doc]
+    place, low, high, doc = place[own], low[own], high[own], doc[own]
+    eights = _loose(raw)
+    h = _hashed(eights, [place + k for k in range(0, GRAM, 8)])
+    half = (LEAST - GRAM) // 2
     sides = []
-    for begin, end, salt in ((place - half, place + GRAM, 1), (place, place + GRAM + half, 2)):
-        ok = (begin >= off[doc]) & (end <= off[doc + 1])
+    for ok, at in ((place - half >= off[doc], place - half), (place + GRAM + half <= off[doc + 1], place + GRAM)):
         out = np.zeros(len(place), np.uint64)
-        out[ok] = tk.word_hashes(raw, begin[ok], end[ok]) * np.uint64(2 * salt + 1) | np.uint64(1)
+        steps = [*range(0, half - 8, 8), half - 8]
+        # the side and the gram; a prefilter may take different ones for the same
+        out[ok] = tk.mixed(_hashed(eights, [at[ok] + k for k in steps]) + h[ok] * _M[1 + len(sides)]) | np.uint64(1)
         sides.append(out)
     return place, h, low, high, doc, *sides
 
