@@ -247,6 +247,19 @@ def sifted(sig: np.ndarray, size: np.ndarray, grp: np.ndarray, side: np.ndarray,
     return np.where(found, group, -1)
 
 
+def _numbered(sets: list[np.ndarray], off: np.ndarray) -> tuple[np.ndarray, int]:
+    """The members of all sets as numbers, in a row, and how many numbers there are; takes little more memory than the sets twice."""
+    distinct = np.concatenate(sets)
+    distinct.sort()
+    head = np.ones(len(distinct), bool)
+    np.not_equal(distinct[1:], distinct[:-1], out=head[1:])
+    distinct = distinct[head]
+    out = np.empty(off[-1], np.int64)
+    for s, i, j in zip(sets, off[:-1], off[1:], strict=True):
+        out[i:j] = np.searchsorted(distinct, s)
+    return out, len(distinct)
+
+
 def links_of(sig: np.ndarray, sets: list[np.ndarray], grp: np.ndarray | None = None, side: np.ndarray | None = None, match: int = MATCH, similar: int = SIMILAR) -> list[tuple[int, int]]:
     """Links that connect what is linked among some members, from the first of what hangs together to each other.
 
@@ -258,10 +271,9 @@ def links_of(sig: np.ndarray, sets: list[np.ndarray], grp: np.ndarray | None = N
     side = np.full(m, -1) if side is None else side
     size = np.array([len(s) for s in sets])
     off = np.concatenate([[0], np.cumsum(size)])
-    words = np.concatenate(sets)
     if m > 2:
-        words = np.unique(words, return_inverse=True)[1]
-        mark = np.zeros(words.max() + 1, bool)
+        words, n = _numbered(sets, off)
+        mark = np.zeros(n, bool)
     group = np.arange(m)
     for i in range(m - 1):
         other = _similar_sizes(size, i, _meeting(i, grp, side, group), similar)
@@ -292,7 +304,9 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Recor
     held: list[pa.RecordBatch] = []
 
     def whole() -> pa.RecordBatch:
-        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        out = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()  # before the group is worked on
+        return out
 
     def key(b: pa.RecordBatch, row: int) -> list:
         return [b.column(k)[row].as_py() for k in range(n_keys)]
@@ -306,13 +320,11 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Recor
             turn[1:] |= v[1:] != v[:-1]
         if held and key(held[-1], 0) != key(b, 0):
             yield whole()
-            held = []
         cut = [0, *np.flatnonzero(turn).tolist(), b.num_rows]
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             held.append(b.slice(i, j - i))
             if j < b.num_rows:
                 yield whole()
-                held = []
     if held:
         yield whole()
 
@@ -374,6 +386,15 @@ def _whole(passed: DataFrame, signatures_: DataFrame) -> DataFrame:
     return written(spread_join(every, per, ["whole"], "cls"), "wholes")
 
 
+def _confirmed(b: pa.RecordBatch, match: int, similar: int) -> pa.RecordBatch:
+    """Links (a, b) of a group's classes; the sets are read where they lie in the batch."""
+    sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, K)
+    sets = [np.frombuffer(x.as_buffer(), "<u8") for x in b.column("set")]
+    pairs = np.array(links_of(sig, sets, _numbers(b, "grp"), _numbers(b, "side"), match, similar) if len(sets) > 1 else [], np.int64).reshape(-1, 2)
+    cls = _numbers(b, "cls")
+    return pa.RecordBatch.from_arrays([pa.array(cls[pairs[:, k]]) for k in (0, 1)], ["a", "b"])
+
+
 def _linked(passed: DataFrame, wholes: DataFrame | None, table: DataFrame, classes: DataFrame, match: int, similar: int, text_col: str) -> DataFrame:
     """Links (a, b) of classes that the full sets confirm.
 
@@ -392,13 +413,10 @@ def _linked(passed: DataFrame, wholes: DataFrame | None, table: DataFrame, class
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _groups(batches, 4):
-            if b.num_rows > 1:
-                sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(-1, K)
-                sets = [np.frombuffer(x, "<u8") for x in b.column("set").to_pylist()]
-                pairs = np.array(links_of(sig, sets, _numbers(b, "grp"), _numbers(b, "side"), match, similar), np.int64).reshape(-1, 2)
-                if len(pairs):
-                    cls = _numbers(b, "cls")
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[pairs[:, k]]) for k in (0, 1)], ["a", "b"])
+            links = _confirmed(b, match, similar)
+            del b  # a group may be large, and the next one is gathered
+            if links.num_rows:
+                yield links
 
     return written(full.mapInArrow(confirm, "a long, b long"), "links")
 
